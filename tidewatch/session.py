@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
@@ -51,3 +52,12 @@ class Config:
     def schema_for(self, custom: str | None) -> str:
         """A model's own schema name as it is, else the target schema."""
         return custom.strip() if custom else self.gold_schema
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors reach, removed when the driver ends."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
