@@ -50,8 +50,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 def own_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Only the named columns: extra columns, whatever their names, never reach an operator's own."""
-    return df.select(*[df[f"`{n}`"] for n in names])
+    """Only the columns of exactly these names: extra columns, whatever their names, never reach an operator's own."""
+    at = list(df.columns)
+    apart = numbered_columns(df)
+    return apart.select(*[apart[f"c{at.index(n)}"].alias(n) for n in names])
+
+
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """The columns under names by place, c0 and so on, which clash with none of an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def encoded(column: pa.Array) -> list[bytes]:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -138,6 +139,8 @@ class Model:
         return p, pairs[mask[:, 1:]].sum(0)
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
+        if not self.labels:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         words = Words(texts)
         scores = self.emissions(words)
         counts = np.bincount(words.of_text, minlength=len(texts))
@@ -294,17 +297,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     A null text or one without a letter is ``und`` with score 0; repeated rows each get their row. Columns of docs that are
     named lang_pred or score are replaced. Predictions use the text alone.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
-    at = docs.columns.index("text")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, lang_pred string, score double"
+    names, apart = docs.columns, common.numbered_columns(docs)
+    at = names.index("text")
+    schema = T.StructType([*apart.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             for part in common.rows_of(batch, 2 << 20):
                 if part.num_rows:
                     lang, score = shared.value.predict(common.encoded(part.column(at)))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return apart.mapInArrow(run, schema).toDF(*names, "lang_pred", "score")

@@ -90,9 +90,11 @@ def mixed(docs: DataFrame, shares: DataFrame, block_rows: int = 1) -> DataFrame:
     shares: source and share (whole, at least 1; of repeated ones the largest). Blocks are block_rows rows of a source, in the
     order of a hash of doc_id; the last of a source may be shorter. A null source is a source of its own; a source that shares
     doesn't name has share 1. Repeated rows each get their place; no row is dropped, and no rows give no rows. tie is a hash of
-    the other columns.
+    all columns.
     """
-    narrow = docs.select("doc_id", "source", tie(docs).alias("tie")).withColumn("code", code(F.col("source")))
+    names, apart = docs.columns, common.numbered_columns(docs)
+    doc_id, source = (apart[f"c{names.index(n)}"] for n in ("doc_id", "source"))
+    narrow = apart.select(doc_id.alias("doc_id"), source.alias("source"), tie(apart).alias("tie")).withColumn("code", code(F.col("source")))
     supply = planned(narrow, shares, block_rows)
     slots = timetable(supply, block_rows)
     rows = numbered(narrow).join(supply.select("code", "share", "untils"), "code").withColumn("block", F.ceil(F.col("k") / block_rows).cast("long"))
@@ -104,15 +106,16 @@ def mixed(docs: DataFrame, shares: DataFrame, block_rows: int = 1) -> DataFrame:
     return placed.select("doc_id", "source", "tie", (F.col("slots_before") + full * F.col("frame") + F.col("slot")).alias("slot_time"), (F.col("rows_before") + full * F.col("frame") * block_rows + nth).alias("position"))
 
 
-def tie(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])
+def tie(apart: DataFrame) -> Column:
+    return F.xxhash64(*apart.columns)
 
 
 def arranged(docs: DataFrame, shares: DataFrame, block_rows: int = 1) -> DataFrame:
     """docs in the mixture's order: partitions are ranges of position, sorted. Same defined cases as mixed."""
-    names = docs.columns
-    order = mixed(docs, shares, block_rows).select(F.col("doc_id").alias("mix_id"), F.col("tie").alias("mix_tie"), F.col("position").alias("mix_position"))
-    known = docs.withColumn("mix_of", tie(docs)).dropDuplicates(["doc_id", "mix_of"])  # order has each repeat's row
-    both = known.join(order, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_of") == F.col("mix_tie")))
+    names, apart = docs.columns, common.numbered_columns(docs)
+    doc_id = f"c{names.index('doc_id')}"
+    order = mixed(docs, shares, block_rows).select("doc_id", F.col("tie").alias("of"), "position")
+    known = apart.withColumn("tie", tie(apart)).dropDuplicates([doc_id, "tie"])  # order has each repeat's row
     n = common.partitions(docs.sparkSession)
-    return both.repartitionByRange(n, "mix_position").sortWithinPartitions("mix_position").select(*[f"`{c}`" for c in names])
+    ordered = known.join(order, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("tie") == F.col("of"))).repartitionByRange(n, "position").sortWithinPartitions("position")
+    return ordered.select(*apart.columns).toDF(*names)

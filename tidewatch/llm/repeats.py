@@ -376,22 +376,27 @@ def cleaned(docs: DataFrame, length: int) -> DataFrame:
     Characters that a cut splits go whole. All other columns pass through, and untouched rows stay as they are, null texts
     included. Rows that repeat doc_id and text are copies of each other. See kept() for the rest.
     """
-    names, kinds = docs.columns, dict(docs.dtypes)
-    own = keyed(docs)
-    covered, _ = repeated(own, length)
-    both = own.join(covered, ["k1", "k2"], "left").select(*[own[f"`{c}`"] for c in names], "covered")
+    names = docs.columns
+    apart = common.numbered_columns(docs)
+    text, chars = f"c{names.index('text')}", f"c{names.index('n_chars')}" if "n_chars" in names else None
+    own = apart.withColumns({"k1": F.coalesce(apart[f"c{names.index('doc_id')}"].cast("long"), F.lit(-1)), "k2": F.xxhash64(f"c{names.index('doc_id')}", text)})
+    covered, _ = repeated(own.select("k1", "k2", F.col(text).alias("text"), F.lit(None).cast("long").alias("doc_id")), length)
+    both = own.join(covered, ["k1", "k2"], "left").select(*apart.columns, "covered")
+    schema = apart.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, stays = batch["text"].to_pylist(), []
+            texts, stays = batch[text].to_pylist(), []
             for i, spans in enumerate(batch["covered"].to_pylist()):
                 if spans:
                     raw = texts[i].encode()
                     gone = cover(len(raw), spans, length)
                     texts[i] = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
                 stays.append(not spans or bool(texts[i].strip()))
-            columns = [pa.array(texts, batch.schema.field("text").type) if c == "text" else batch[c] for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays, pa.bool_()))
+            columns = [pa.array(texts, batch.schema.field(text).type) if c == text else batch[c] for c in schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(stays, pa.bool_()))
 
-    done = both.mapInArrow(run, docs.schema)
-    return done.withColumn("n_chars", F.length("text").cast(kinds["n_chars"])) if "n_chars" in names else done
+    done = both.mapInArrow(run, schema)
+    if chars:
+        done = done.withColumn(chars, F.length(text).cast(schema[chars].dataType))
+    return done.toDF(*names)
