@@ -25,6 +25,8 @@ BANDS = {"latin": (2.1, 8.0, 0.25, 4.6), "greek_cyrillic": (0.9, 8.0, 0.6, 3.6),
 #: First code points of runs of letters, and the script of each run.
 RUNS = [(0x41, "latin"), (0x370, "greek_cyrillic"), (0x530, "other"), (0x1E00, "latin"), (0x1F00, "greek_cyrillic"), (0x2000, "none"), (0x2E80, "cjk"), (0xA4D0, "other"), (0xAC00, "cjk"), (0xD7B0, "other"), (0xF900, "cjk"), (0xFB00, "other"), (0x1F000, "none"), (0x20000, "cjk")]
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: A short text can't reach a band's entropy; so much of what its number of tokens allows will do.
+SHORT = 0.85
 NOT_SYMBOL = re.compile(r"[^#*$%&|<>]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -57,14 +59,14 @@ def pieces(text: str, most: int = 1 << 16) -> list[str]:
     return [*out, text[i:]]
 
 
-def fertility(text: str, path: str) -> tuple[float, float, float]:
-    """Characters a token, share of tokens that are parts of a character, bits of token entropy of order two."""
+def fertility(text: str, path: str) -> tuple[float, float, float, int]:
+    """Characters a token, share of tokens that are parts of a character, bits of token entropy of order two, tokens."""
     encoding, part = vocabulary(path)
     ids = np.array([i for x in pieces(text) for i in encoding.encode_ordinary(x)], np.int64)
     if not len(ids):
-        return 0.0, 0.0, 0.0
+        return 0.0, 0.0, 0.0, 0
     counts = np.unique(ids, return_counts=True)[1] / len(ids)
-    return len(text) / len(ids), float(part[ids].mean()), float(-np.log2((counts * counts).sum()))
+    return len(text) / len(ids), float(part[ids].mean()), float(-np.log2((counts * counts).sum())), len(ids)
 
 
 def script(text: str) -> str:
@@ -103,9 +105,10 @@ def judge(text: str, path: str, bands: dict | None = None) -> dict:
     out = {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": len(NOT_SYMBOL.sub("", text)), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": repeated(words)}
     out["base_failed"] = len(words) < 20 or 100 * out["n_repeat_words"] > 30 * len(words)
     out["script"] = script(text)
-    out["chars_per_token"], out["fallback_share"], out["token_entropy"] = fertility(text, path)
+    out["chars_per_token"], out["fallback_share"], out["token_entropy"], n = fertility(text, path)
     least, most, parts, bits = (bands or BANDS)[out["script"]]
-    out["kept"] = not out["base_failed"] and least <= out["chars_per_token"] <= most and out["fallback_share"] <= parts and out["token_entropy"] >= bits
+    out["kept"] = not out["base_failed"] and least <= out["chars_per_token"] <= most and out["fallback_share"] <= parts and out["token_entropy"] >= min(bits, SHORT * np.log2(max(1, n)))
+    out["kept"] = bool(out["kept"])
     return out
 
 
