@@ -496,6 +496,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_main_text():
     assert html.main_text(PAGE) == "Head & line\n\nFirst para graph with bolded text © and é.\n\nShort.\n\nA quote in two lines\n\nLast one."
+    titled = "<body><div><a>x</a><a>y</a></div><div><h1>Title</h1>" + "".join(f"<p>{prose(i, 30)}</p>" for i in range(3)) + "</div>"
+    assert html.main_text(titled).startswith("Title\n\n" + prose(0, 30))
     plain = "<body><div id=menu><a>x</a><a>y</a></div>" + "".join(f"<p>{prose(i, 30)}</p>" for i in range(3)) + "<p>end</p><div class='footer'>f</div>"
     assert html.main_text(plain).startswith(prose(0, 30)) and "x" not in html.main_text(plain).split("\n\n")[0][:1]
 

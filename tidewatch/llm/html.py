@@ -22,6 +22,7 @@ NOT_TEXT = frozenset("script style noscript template iframe object svg canvas au
 NOT_MAIN = frozenset("nav footer aside form button select textarea menu dialog fieldset".split())
 #: Elements that begin and end a line.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a following one of the same group ends, when its end tag is left out.
 ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -39,21 +40,21 @@ PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.str
 
 
 class Lines(HTMLParser):
-    """Lays a page's events out as lines: [text parts, tags, container, left out]."""
+    """Lays a page's events out as lines: [text parts, tags, container, left out, block that began it]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [[[], 0, 0, False]]
+        self.lines: list[list] = [[[], 0, 0, False, ""]]
         self.open: list[tuple[str, bool, int]] = []  # element, whether it's left out, container
         self.containers = 1
 
-    def _line(self) -> None:
+    def _line(self, block: str = "") -> None:
         out, container = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
         last = self.lines[-1]
         if last[0]:
-            self.lines.append([[], 0, container, out])
+            self.lines.append([[], 0, container, out, block])
         else:
-            last[2], last[3] = container, out
+            last[2:] = container, out, block
 
     def _out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NOT_TEXT or tag in NOT_MAIN:
@@ -91,7 +92,7 @@ class Lines(HTMLParser):
             container, self.containers = self.containers, self.containers + 1
         self.open.append((tag, out, container))
         if tag in BLOCKS or tag in NOT_TEXT or out:
-            self._line()
+            self._line(tag)
 
     def handle_endtag(self, tag: str) -> None:
         self.lines[-1][1] += 1
@@ -122,23 +123,28 @@ def main_text(html: str) -> str:
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [(SPACE.sub(" ", "".join(x)).strip(), tags, container, out) for x, tags, container, out in parser.lines]
+    lines = [(SPACE.sub(" ", "".join(x)).strip(), *rest) for x, *rest in parser.lines]
     lines = [x for x in lines if x[0] or x[1]]
     if not lines:
         return ""
-    sizes = np.array([0 if out else len(x) for x, _, _, out in lines], float)
-    ratio = smooth(sizes / np.maximum(1, [tags for _, tags, _, _ in lines]))
+    sizes = np.array([0 if out else len(x) for x, _, _, out, _ in lines], float)
+    ratio = smooth(sizes / np.maximum(1, [tags for _, tags, *_ in lines]))
     content = (sizes > 0) & (ratio >= LEAST * ratio.mean())
     weight: dict[int, float] = {}
-    for (_, _, container, _), size, chosen in zip(lines, sizes, content, strict=True):
+    for (_, _, container, *_), size, chosen in zip(lines, sizes, content, strict=True):
         weight[container] = weight.get(container, 0) + size * chosen
     inner = {c: w for c, w in weight.items() if c and w}
     if inner:
         best = max(inner, key=inner.get)
-        kept = [x for x, _, container, out in lines if container == best and x and not out]
+        kept = [x for x, _, container, out, _ in lines if container == best and x and not out]
     else:
         at = np.flatnonzero(content)
-        kept = [x for x, _, _, out in lines[at[0] : at[-1] + 1] if x and not out] if len(at) else []
+        if not len(at):
+            return ""
+        first = at[0]
+        while first and (lines[first - 1][4] in HEADINGS or not lines[first - 1][0]) and not lines[first - 1][3]:
+            first -= 1  # headings belong to what they stand over
+        kept = [x for x, _, _, out, _ in lines[first : at[-1] + 1] if x and not out]
     return "\n\n".join(kept)
 
 
