@@ -25,18 +25,21 @@ def tempered(counts: DataFrame, alpha: float = 0.5, frame: int = FRAME) -> DataF
     return counts.select("source", F.greatest(F.lit(1), F.round(frame * F.pow("n", F.lit(alpha)) / whole)).cast("long").alias("share"))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with k: its number from 1 among its source's rows, by hash of doc_id; a large source is numbered in parts.
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, code, tie) with k: the number from 1 among its source's rows, by MD5 of doc_id, doc_id and tie.
 
-    The parts are cut by the hash; each part's rows are counted, and a part's numbers begin where the counts before it end.
+    A large source is numbered in parts, cut by the hash: each part's rows are counted, and a part's numbers begin where the
+    counts before it end.
     """
-    parts = 4 * common.partitions(docs.sparkSession)
-    docs = docs.withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.shiftrightunsigned("h", 33) % parts)
-    sizes = docs.groupBy("code", "part").agg(F.count("*").alias("n"))
-    by_source = Window.partitionBy("code").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("code", "part", F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("before"))
+    parts = 4 * common.partitions(rows.sparkSession)
+    h = F.md5(F.col("doc_id").cast("string").cast("binary"))
+    part = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * parts / F.lit(1 << 32)).cast("int")
+    rows = rows.withColumn("h", h).withColumn("part", F.coalesce(part, F.lit(-1)))
+    sizes = rows.groupBy("code", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("code").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("code", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("code", "part").orderBy("h", "doc_id", "tie")
-    own = docs.withColumn("rank", F.row_number().over(inside))
+    own = rows.withColumn("rank", F.row_number().over(inside))
     return own.join(before, ["code", "part"]).withColumn("k", F.col("before") + F.col("rank")).drop("before", "rank", "h", "part")
 
 
