@@ -29,8 +29,8 @@ from . import common
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 
-#: Distinct words whose encoding a worker keeps.
-KEPT_WORDS = 250_000
+#: Distinct words whose encoding a worker keeps, and expanded arcs.
+KEPT_WORDS, KEPT_ARCS = 120_000, 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -95,7 +95,7 @@ class Automaton:
         n = len(self.labels)
         known = self.arcs.get(state * n + token)
         if known is None:
-            if len(self.arcs) > 4_000_000:
+            if len(self.arcs) > KEPT_ARCS:
                 self.arcs.clear()
             known = self.arcs[state * n + token] = self._live(token) and self._expand(state, token, self.merged)
         return known

@@ -153,9 +153,9 @@ class Model:
             laid = np.zeros((offset[-1], CHAIN, len(self.labels)), np.float32)
             mask = np.zeros(laid.shape[:2], bool)
             laid[chain, at], mask[chain, at] = scores, True
-            for i in range(0, len(laid), 4096):
-                p = self.marginals_only(laid[i : i + 4096], mask[i : i + 4096])
-                laid[i : i + 4096] = p
+            for i in range(0, len(laid), 2048):
+                p = self.marginals_only(laid[i : i + 2048], mask[i : i + 2048])
+                laid[i : i + 2048] = p
             p = laid[chain, at]
             for k in range(len(self.labels)):
                 total[:, k] = np.bincount(words.of_text, weights=p[:, k], minlength=len(texts))
@@ -305,7 +305,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in common.rows_of(batch, 2 << 20):
+            for part in common.rows_of(batch, 1 << 20):
                 if part.num_rows:
                     lang, score = shared.value.predict(common.encoded(part.column(at)))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
