@@ -301,12 +301,13 @@ def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """k1, k2 and covered (a list of places of anchors with spans of offsets) of the rows of keyed docs with repeated strings;
     and the packed texts."""
     every, every_path = common.written(docs.select("k1", "k2", "text").mapInArrow(anchor_rows(length), ANCHOR_DDL), "anchors")
-    often = every.groupBy("g").count().filter("count > 1").select("g")
+    often, _ = common.written(every.groupBy("g").count().filter("count > 1").select("g"), "often")  # so that a hot gram's rows can be split
     some, _ = common.written(every.join(often, "g", "left_semi"), "repeated")
     common.drop_path(docs.sparkSession, every_path)
     classes = some.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p", "a", "b")).alias("r"))
-    classes = classes.join(classes.groupBy("g").agg(F.count("*").alias("m")), "g")
     classes, _ = common.written(classes, "classes")
+    many_of, _ = common.written(classes.groupBy("g").agg(F.count("*").alias("m")), "sizes")
+    classes = classes.join(many_of, "g")
     alone = classes.filter("m = 1").select("g", "c", F.array((F.col("r.p") - F.col("r.b")).cast("int"), (F.col("r.p") - F.col("r.a")).cast("int")).alias("spans"))
     texts = packed(docs)
     wanted = classes.filter("m > 1").groupBy("r.k1", "r.k2").agg(F.collect_list(F.struct("g", "c", "n", "m", "r.p", "r.a", "r.b")).alias("wanted"))
