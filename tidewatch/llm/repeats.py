@@ -26,7 +26,7 @@ from . import common
 from .suffixes import suffix_array
 
 #: Bytes of a symbol; symbols of one suffix array; distinct contexts of a gram that one task gathers.
-BLOCK, SYMBOLS, HOT = 16, 60_000, 2000
+BLOCK, SYMBOLS, HOT = 16, 60_000, 10_000
 #: Places of the position in a packed hash.
 PLACE = 24
 
