@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sql import count_distinct_when, floor_ts, is_weekend, safe_divide, seconds_between, seconds_up, sum_when
 from ..functions.status import UNKNOWN, disruption_category, is_good_service, reason_hash, recovery_flag, severity_weight, status_category
-from ..operators.neighbours import following, preceding, running_last, sliced
+from ..operators.neighbours import following, islands, sliced
 
 STAGED = ["event_id", "event_ts", "ingest_ts", "line_id", "line_name", "mode", "status_severity", "reason", "valid_from", "valid_to", "is_disrupted", "payload_hash", "producer_ingest_ts", "producer_request_id", "schema_version"]
 HOUR, DAY = 3600, 86_400
@@ -60,12 +60,10 @@ def fact_interval(stg: DataFrame) -> DataFrame:
 
 def fact_change(intervals: DataFrame) -> DataFrame:
     """Runs of intervals in one state (severity and reason), each against the run before; a line's first run has none."""
-    order = ["interval_start_ts", "ingest_ts", "status_severity", "reason_text_hash"]
-    before = preceding(sliced(intervals.select("line_id", *order, "interval_seconds"), "interval_start_ts"), "line_id", order, {"was_severity": "status_severity", "was_hash": "reason_text_hash"})
-    new_state = F.col("was_severity").isNull() | (F.col("status_severity") != F.col("was_severity")) | ~F.col("reason_text_hash").eqNullSafe(F.col("was_hash"))
-    runs = running_last(before, "line_id", order, F.when(new_state, F.col("interval_start_ts")), "change_ts")
-    collapsed = runs.groupBy("line_id", "change_ts").agg(F.max("ingest_ts").alias("source_ingest_ts"), F.max("status_severity").alias("new_status_severity"), F.max("reason_text_hash").alias("new_reason_text_hash"), F.when(F.count_if(F.col("interval_seconds").isNull()) == 0, F.sum("interval_seconds")).alias("time_in_new_state_seconds"))
-    changes = preceding(sliced(collapsed, "change_ts"), "line_id", ["change_ts"], {"prev_change_ts": "change_ts", "prev_status_severity": "new_status_severity", "prev_reason_text_hash": "new_reason_text_hash"})
+    rows = sliced(intervals.select("line_id", "interval_start_ts", "status_severity", "reason_text_hash", "ingest_ts", "interval_seconds"), "interval_start_ts")
+    runs = islands(rows, "line_id", ["interval_start_ts", "ingest_ts"], ["status_severity", "reason_text_hash"])
+    changes = runs.groupBy("line_id", F.col("run.interval_start_ts").alias("change_ts")).agg(F.max("before").alias("before"), F.max("ingest_ts").alias("source_ingest_ts"), F.max("status_severity").alias("new_status_severity"), F.max("reason_text_hash").alias("new_reason_text_hash"), F.when(F.count_if(F.col("interval_seconds").isNull()) == 0, F.sum("interval_seconds")).alias("time_in_new_state_seconds"))
+    changes = changes.withColumns({"prev_change_ts": F.col("before.interval_start_ts"), "prev_status_severity": F.col("before.status_severity"), "prev_reason_text_hash": F.col("before.reason_text_hash")})
     return changes.filter(F.col("prev_status_severity").isNotNull()).select("line_id", "change_ts", "prev_change_ts", seconds_between(F.col("prev_change_ts"), F.col("change_ts")).alias("time_since_prev_seconds"), "prev_status_severity", "new_status_severity", "prev_reason_text_hash", "new_reason_text_hash", recovery_flag(F.col("prev_status_severity"), F.col("new_status_severity")).alias("recovery_flag"), "time_in_new_state_seconds", "source_ingest_ts")
 
 

@@ -18,8 +18,8 @@ TOPIC = "line_status"
 
 def silver(events: DataFrame) -> DataFrame:
     """One status event per row of events; timestamps without a zone are taken as UTC."""
-    ts = F.col("ts").cast("timestamp")
-    k = F.from_json("props", "k int")["k"]
+    events = events.withColumn("k", F.from_json("props", "k int")["k"])  # a column of its own, so that it's parsed once
+    ts, k = F.col("ts").cast("timestamp"), F.col("k")
     line = F.lpad((F.col("user_id") % 20).cast("string"), 2, "0")
     severity = F.create_map(*[x for pair in SEVERITIES.items() for x in map(F.lit, pair)])[F.col("event_type")]
     reason = F.lit(None).cast("string")
