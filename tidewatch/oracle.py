@@ -88,7 +88,7 @@ LEFT JOIN (SELECT line_id, CAST(change_ts AS DATE) AS service_date, count(*) AS
     "network_hours": "SELECT bucket_hour, service_date, {network} FROM line_hours GROUP BY 1, 2",
     "network_days": "SELECT service_date, {network} FROM line_days GROUP BY 1",
     "current": """
-SELECT r.line_id, l.line_name, l.mode, r.status_severity, s.status_desc, is_disrupted, disruption_category, reason, interval_start_ts AS status_valid_from, interval_end_ts AS status_valid_to, ingest_ts AS last_ingest_ts, (epoch_us(TIMESTAMP '{as_of}') // 1000000 - epoch_us(interval_start_ts) // 1000000) / 60.0 AS last_changed_minutes_ago
+SELECT r.line_id, l.line_name, l.mode, r.status_severity, s.status_desc, is_disrupted, disruption_category, reason, interval_start_ts AS status_valid_from, interval_end_ts AS status_valid_to, ingest_ts AS last_ingest_ts, round((epoch_us(TIMESTAMP '{as_of}') // 1000000 - epoch_us(interval_start_ts) // 1000000) / 60.0, 6) AS last_changed_minutes_ago
 FROM (SELECT * FROM intervals QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY interval_start_ts DESC NULLS LAST, ingest_ts DESC NULLS LAST, status_severity ASC NULLS LAST) = 1) r LEFT JOIN dim_line l USING (line_id) LEFT JOIN dim_status s ON r.status_severity = s.status_severity
 """,
 }
