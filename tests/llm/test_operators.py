@@ -91,7 +91,7 @@ def test_repeats(docs, length):
     assert sorted(got, key=repr) == brute_repeats(pairs(small), length)
 
 
-@pytest.mark.parametrize("hot", [10_000, 3])
+@pytest.mark.parametrize("hot", [5_000, 3])
 def test_repeats_of_partial_overlaps(spark, monkeypatch, hot):
     """Windows shared with one text on the left and another on the right; and grams too frequent to gather."""
     monkeypatch.setattr(repeats, "HOT", hot)

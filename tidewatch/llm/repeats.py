@@ -3,10 +3,11 @@
 One suffix array over a corpus has no place on a cluster, so suffixes are gathered by content first. In each window of the
 length sought, the smallest hash of a short gram marks an anchor; equal windows have their anchor at the same offset and with
 the same gram, so each window can be judged among the occurrences of its anchor's gram alone, and grams that occur once drop
-out. An anchor's context is all its windows. Of each gram the distinct contexts (equal ones count) are laid out as two strings,
-onwards from the anchor and backwards, in symbols of BLOCK bytes; ``suffixes.suffix_array`` orders them, and neighbours in the
-array give the longest match of each context to the right and to the left. These bound which windows can be repeated; where
-one neighbour bears out all of them that settles it, and else windows at the offsets left open are compared exactly.
+out. An anchor's context is all its windows. Of each gram the distinct contexts (two copies of one that is there more than
+once) are laid out as two strings, onwards from the anchor and backwards, in symbols of BLOCK bytes; ``suffixes.suffix_array``
+orders them, and neighbours in the array give the longest match of each context to the right and to the left. These bound
+which windows can be repeated; where one neighbour bears out all of them that settles it, and else windows at the offsets left
+open are compared exactly.
 
 A gram with more than HOT distinct contexts is not gathered: its windows are counted one by one, by content.
 """
@@ -26,7 +27,7 @@ from . import common
 from .suffixes import suffix_array
 
 #: Bytes of a symbol; symbols of one suffix array; distinct contexts of a gram that one task gathers.
-BLOCK, SYMBOLS, HOT = 16, 60_000, 10_000
+BLOCK, SYMBOLS, HOT = 16, 60_000, 5_000
 #: Places of the position in a packed hash.
 PLACE = 24
 
@@ -180,59 +181,62 @@ def ranks(raw: bytes) -> np.ndarray:
     return out
 
 
-def longest(order: list[int], groups: list[int], strings: list[bytes]) -> tuple[list[int], list[int]]:
-    """Of each string: its longest match at the front with another of its group, and which one that is (-1: none)."""
+def longest(order: list[int], groups: list[int], strings: list[bytes], twins: list[int]) -> tuple[list[int], list[int]]:
+    """Of each string: its longest match at the front with another of its group, and which one that is (-1: none; the twin
+    where it is as long)."""
     best, who = [0] * len(strings), [-1] * len(strings)
     for i, j in zip(order, order[1:], strict=False):
         if groups[i] == groups[j]:
             same = same_front(strings[i], strings[j])
             for x, y in ((i, j), (j, i)):
-                if same > best[x] or who[x] < 0:
+                if same > best[x] or who[x] < 0 or (same == best[x] and twins[x] == y):
                     best[x], who[x] = same, y
     return best, who
 
 
 def settle(rows: list[tuple], length: int) -> list[list[int]]:
-    """Of contexts (group, n, low, high, bytes), whole groups of them: the offsets of repeated windows as [first, last, ...]."""
+    """Of contexts (gram, n, low, high, bytes), whole grams of them: the offsets of repeated windows as [first, last, ...].
+
+    A context that is there more than once is laid out twice, so that its copies meet in the array like any others.
+    """
+    at = [i for i, r in enumerate(rows) for _ in range(1 + (r[1] > 1))]
+    twins = [k - 1 if k and at[k - 1] == i else k + 1 if k + 1 < len(at) and at[k + 1] == i else -1 for k, i in enumerate(at)]
     number: dict[int, int] = {}
-    groups = [number.setdefault(r[0], len(number)) for r in rows]
-    right, left = [r[4][r[3] :] for r in rows], [r[4][: r[3]][::-1] for r in rows]
-    r_best, r_who = longest(in_order(groups, right), groups, right)
-    l_best, l_who = longest(in_order(groups, left), groups, left)
+    groups = [number.setdefault(rows[i][0], len(number)) for i in at]
+    right, left = [rows[i][4][rows[i][3] :] for i in at], [rows[i][4][: rows[i][3]][::-1] for i in at]
+    r_best, r_who = longest(in_order(groups, right), groups, right, twins)
+    l_best, l_who = longest(in_order(groups, left), groups, left, twins)
+    bounds = [(max(rows[i][2], length - r_best[k]), min(rows[i][3], l_best[k])) for k, i in enumerate(at)]
     out: list[list[int]] = []
     asked: list[tuple[int, int]] = []
-    can: dict[int, list[tuple[int, int, int]]] = {}
-    for i, (g, (_, n, low, high, _)) in enumerate(zip(groups, rows, strict=True)):
-        first, last = max(low, length - r_best[i]), min(high, l_best[i])
-        if first <= last:
-            can.setdefault(g, []).append((i, first, last))
-        if n > 1:
-            out.append([low, high])
-            continue
-        if first > last:
-            out.append([])
+    for k, i in enumerate(at):
+        if k and at[k - 1] == i:
             continue
+        first, last = bounds[k]
         sure: set[int] = set()
-        for j in {r_who[i], l_who[i]}:
-            sure.update(range(max(first, length - same_front(right[i], right[j])), min(last, same_front(left[i], left[j])) + 1))
+        if first <= last:
+            for j in {r_who[k], l_who[k]}:
+                low, high = max(first, length - same_front(right[k], right[j])), min(last, same_front(left[k], left[j]))
+                sure.update(range(low, high + 1))
+                if len(sure) > last - first:
+                    break
         out.append(sorted(sure))
-        asked += [(i, o) for o in range(first, last + 1) if o not in sure]
+        asked += [(k, o) for o in range(first, last + 1) if o not in sure]
     if asked:
-        seen: dict[tuple[int, int, bytes], int] = {}
         open_: dict[int, set[int]] = {}
-        for i, o in asked:
-            open_.setdefault(groups[i], set()).add(o)
-        window = lambda i, o: rows[i][4][rows[i][3] - o : rows[i][3] - o + length]
-        for g, offsets in open_.items():
-            for o in offsets:
-                for i, first, last in can[g]:
-                    if first <= o <= last:
-                        at = (g, o, hashlib.blake2b(window(i, o), digest_size=16).digest())
-                        seen[at] = seen.get(at, 0) + 1
-        for i, o in asked:
-            if seen[groups[i], o, hashlib.blake2b(window(i, o), digest_size=16).digest()] > 1:
-                out[i].append(o)
-    return [x if rows[i][1] > 1 else runs(x) for i, x in enumerate(out)]
+        for k, o in asked:
+            open_.setdefault(groups[k], set()).add(o)
+        window = lambda k, o: hashlib.blake2b(rows[at[k]][4][rows[at[k]][3] - o : rows[at[k]][3] - o + length], digest_size=16).digest()
+        seen: dict[tuple[int, int, bytes], int] = {}
+        for k, (first, last) in enumerate(bounds):
+            for o in open_.get(groups[k], ()):
+                if first <= o <= last:
+                    w = (groups[k], o, window(k, o))
+                    seen[w] = seen.get(w, 0) + 1
+        for k, o in asked:
+            if seen[groups[k], o, window(k, o)] > 1:
+                out[at[k]].append(o)
+    return [runs(x) for x in out]
 
 
 def runs(offsets: list[int]) -> list[int]:
@@ -254,23 +258,21 @@ def settled(length: int):
         names: list[tuple[int, int]] = []
         symbols = 0
 
-        def flush(n: int) -> pa.RecordBatch:
+        def flush() -> pa.RecordBatch:
             nonlocal rows, names, symbols
-            spans = settle(rows[:n], length)
-            out = pa.RecordBatch.from_arrays([pa.array([g for g, _ in names[:n]], pa.int64()), pa.array([c for _, c in names[:n]], pa.int64()), pa.array(spans, pa.list_(pa.int32()))], schema=SPANS)
-            rows, names = rows[n:], names[n:]
-            symbols = sum(len(r[4]) // BLOCK + 4 for r in rows)
-            return out
+            columns = [[g for g, _ in names], [c for _, c in names], settle(rows, length)]
+            rows, names, symbols = [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, SPANS, strict=True)], schema=SPANS)
 
         for batch in batches:
             for g, c, n, _, low, high, context in zip(*[batch[f.name].to_pylist() for f in CONTEXT], strict=True):
                 if symbols > SYMBOLS and rows and rows[-1][0] != g:
-                    yield flush(len(rows))
+                    yield flush()
                 rows.append((g, n, low, high, context))
                 names.append((g, c))
-                symbols += len(context) // BLOCK + 4
+                symbols += (len(context) // BLOCK + 4) * (1 + (n > 1))
         if rows:
-            yield flush(len(rows))
+            yield flush()
 
     return run
 
@@ -308,9 +310,8 @@ def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     classes, _ = common.written(classes, "classes")
     many_of, _ = common.written(classes.groupBy("g").agg(F.count("*").alias("m")), "sizes")
     classes = classes.join(many_of, "g")
-    alone = classes.filter("m = 1").select("g", "c", F.array((F.col("r.p") - F.col("r.b")).cast("int"), (F.col("r.p") - F.col("r.a")).cast("int")).alias("spans"))
     texts = packed(docs)
-    wanted = classes.filter("m > 1").groupBy("r.k1", "r.k2").agg(F.collect_list(F.struct("g", "c", "n", "m", "r.p", "r.a", "r.b")).alias("wanted"))
+    wanted = classes.groupBy("r.k1", "r.k2").agg(F.collect_list(F.struct("g", "c", "n", "m", "r.p", "r.a", "r.b")).alias("wanted"))
     once = texts.join(wanted, ["k1", "k2"]).mapInArrow(contexts(length), "g long, c long, n long, m long, low int, high int, context binary")
     once, _ = common.written(once, "contexts")
     n = common.partitions(docs.sparkSession)
@@ -319,7 +320,7 @@ def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("t")).filter("t > 1").select("w1", "w2")
     offsets = each.join(twice, ["w1", "w2"], "left_semi").groupBy("g", "c").agg(F.sort_array(F.collect_set("o")).alias("o"))
     many = offsets.select("g", "c", F.flatten(F.transform("o", lambda x: F.array(x, x))).alias("spans"))
-    spans = alone.unionByName(few).unionByName(many).filter(F.size("spans") > 0)
+    spans = few.unionByName(many).filter(F.size("spans") > 0)
     covered = some.join(spans, ["g", "c"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "spans")).alias("covered"))
     return covered, texts
 
