@@ -1,6 +1,10 @@
 """Each registered query of the engine against its SQL in DuckDB, on the smallest tables."""
 
+import numbers
+
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from tidewatch import queries
@@ -20,7 +24,7 @@ def duck(data):
 def values(df):
     out = []
     for row in df[sorted(df.columns)].itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v).removesuffix(" 00:00:00") for v in row))
+        out.append(tuple(None if pd.isna(v) else round(float(v), 6) if isinstance(v, numbers.Number) and not isinstance(v, (bool, np.bool_)) else str(v).removesuffix(" 00:00:00") for v in row))
     return sorted(out, key=repr)
 
 
