@@ -259,16 +259,17 @@ def links(fps: DataFrame, threshold: int, blocks: tuple[tuple[int, int], ...]) -
     Every pair within the threshold is compared and ends up connected; a hot anchor's own fingerprints are split into shares
     and what is sent to it goes to each share, so no task holds an unbounded group.
     """
-    spark = fps.sparkSession
+    n = common.partitions(fps.sparkSession)
+    fps = fps.repartition(n, "fp")  # few bytes in, many out: not to be coalesced
     placed = fps.mapInArrow(place(blocks, threshold), "anchor long, own boolean, fp long")
     sizes = fps.mapInArrow(home_of(blocks), "anchor long").groupBy("anchor").count().filter(F.col("count") > HELD)
     shares = sizes.select("anchor", F.ceil(F.col("count") / HELD).cast("int").alias("shares"))
+    shares, _ = common.written(shares, "shares")  # so that its size is known and the many rows need no exchange for it
     placed = placed.join(shares, "anchor", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
     mine = F.pmod(F.xxhash64("fp"), "shares").cast("int")
     all_ = F.sequence(F.lit(0), F.col("shares") - 1)
     rows = F.when(F.col("own"), F.array(F.struct(mine.alias("share"), F.lit(False).alias("sent")))).otherwise(F.array()).cast("array<struct<share:int,sent:boolean>>")
     spread = placed.withColumn("to", F.explode(F.concat(rows, F.transform(all_, lambda s: F.struct(s.alias("share"), F.lit(True).alias("sent")))))).select("anchor", "fp", "to.share", "to.sent")
-    n = common.partitions(spark)
     return spread.repartition(n, "anchor", "share").sortWithinPartitions("anchor", "share", "sent").mapInArrow(compare(threshold), "a long, b long")
 
 
