@@ -84,7 +84,8 @@ def test_refresh_equals_full_build_with_late_rows_and_shortened_intervals(spark,
     silver = events.silver(spark.read.parquet(f"{data}/events.parquet")).filter("event_ts < '2024-01-06'")
     first = silver.filter((F.col("ingest_ts") < "2024-01-04") & (F.col("bronze_kafka_offset") % 7 != 0))
     as_of = F.lit(datetime(2024, 2, 1))
-    step, whole = incremental.Gold(spark, Config(warehouse=str(tmp_path / "a")), as_of), incremental.Gold(spark, Config(warehouse=str(tmp_path / "b")), as_of)
+    step, whole = (incremental.Gold(spark, Config(warehouse=str(tmp_path / x)), as_of) for x in "ab")
+    assert set(incremental.needed(step.models, {"dim_line"})) == {"stg_events", "dim_line"}
     step.full(first)
     late = silver.withColumn("ingest_ts", F.when(F.col("bronze_kafka_offset") % 7 == 0, F.lit(datetime(2024, 1, 9))).otherwise(F.col("ingest_ts")))
     step.refresh(late)

@@ -36,12 +36,23 @@ def changed_keys(source: DataFrame, key: str, watermark: str, target: DataFrame,
     return both.filter(changed).select(F.coalesce(key, "_key").alias(key))
 
 
+def needed(every: dict[str, Model], names: set[str] | None) -> dict[str, Model]:
+    """The named models (all if None) and those that they are made from."""
+    todo, found = list(every if names is None else names), set()
+    while todo:
+        name = todo.pop()
+        if name in every and name not in found:
+            found.add(name)
+            todo += every[name].needs
+    return {n: m for n, m in every.items() if n in found}
+
+
 class Gold:
-    """The gold tables in a warehouse, built in full or refreshed."""
+    """The gold tables in a warehouse, built in full or refreshed; all of them, or some with what they need."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None, as_of: Column | None = None):
+    def __init__(self, spark: SparkSession, config: Config | None = None, as_of: Column | None = None, names: set[str] | None = None):
         self.spark, self.config = spark, config or Config()
-        self.models = models(as_of)
+        self.models = needed(models(as_of), names)
         self._schemas: dict[str, T.StructType] = {}
 
     def schema(self, name: str) -> T.StructType:

@@ -434,7 +434,7 @@ def _cut() -> Column:
 def inc_full_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Built from the events before a cut, then refreshed with all of them; the day mart is that of a full build."""
     rows = silver(spark, sf_dir)
-    built = incremental.Gold(spark, Config(warehouse=scratch(spark, "gold")), F.lit(AS_OF).cast("timestamp"))
+    built = incremental.Gold(spark, Config(warehouse=scratch(spark, "gold")), names={"mart_line_day"})
     built.full(rows.filter(F.col("ingest_ts") < _cut()))
     built.refresh(rows)
     return built.table("mart_line_day").read()
