@@ -502,6 +502,11 @@ def test_main_text():
     assert html.main_text(plain).startswith(prose(0, 30)) and "x" not in html.main_text(plain).split("\n\n")[0][:1]
 
 
+def test_names_that_tell_of_other_blocks():
+    assert html.main_text("<div class='post has-sidebar no-comments'><p>" + prose(1, 40) + "</p></div>") == prose(1, 40)
+    assert html.main_text("<div class='adSlot'>x</div><p>" + prose(1, 40)) == prose(1, 40)
+
+
 @pytest.mark.parametrize("broken", ["", " ", "no markup at all", "<", "<p", "<!--", "&am", "<article><p>x", "</p></article>", "<article></article>", "\x00<p>é", "<b>" * 3000 + "deep"])
 def test_broken_pages(broken):
     assert isinstance(html.main_text(broken), str)

@@ -30,6 +30,7 @@ ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "
 MARKS = frozenset("ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion comment comments respond reply replies discussion disqus sidebar side widget related recommended share sharing social newsletter subscribe subscription signup cookie cookies consent gdpr notice notices notification popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead header copyright legal skip login search toolbar contentinfo complementary".split())
 #: Of these, the ones that inside an article belong to it.
 OWN_MARKS = frozenset(["header"])
+ABOUT_OTHERS = frozenset("has with no without not is".split())
 SPACE = re.compile(r"[\s ]+")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -39,6 +40,12 @@ SIGMA, LEAST = 1.0, 0.5
 PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
+def marks(value: str) -> set[str]:
+    """The words of a class, id or role; not those of names like has-sidebar, which tell what stands elsewhere."""
+    each = [[x.lower() for x in PARTS.findall(name)] for name in value.split()]
+    return {x for words in each if words and words[0] not in ABOUT_OTHERS for x in words}
+
+
 class Lines(HTMLParser):
     """Lays a page's events out as lines: [text parts, tags, container, left out, block that began it]."""
 
@@ -65,7 +72,7 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name in ("hidden",) or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in (value or "").replace(" ", "")):
                 return True
-            if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main") and (MARKS - OWN_MARKS if inside else MARKS) & {x.lower() for x in PARTS.findall(value or "")}:
+            if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main") and (MARKS - OWN_MARKS if inside else MARKS) & marks(value or ""):
                 return True
         return False
 
