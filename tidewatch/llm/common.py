@@ -56,8 +56,21 @@ def own_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return apart.select(*[apart[f"c{at.index(n)}"].alias(n) for n in names])
 
 
+#: Bytes of a batch that the JVM hands to Python at once.
+BATCH = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of BATCH bytes at most, so that the buffers on both sides stay small whatever the rows' sizes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now <= 0 or now > BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def numbered_columns(df: DataFrame) -> DataFrame:
     """The columns under names by place, c0 and so on, which clash with none of an operator's own."""
+    bound_batches(df.sparkSession)
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
