@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -29,8 +30,12 @@ from . import common
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 
-#: Distinct words whose encoding a worker keeps, and expanded arcs.
-KEPT_WORDS, KEPT_ARCS = 120_000, 300_000
+FIRST, SECOND = itemgetter(0), itemgetter(1)
+#: Bytes by which the longest token that may come is looked up.
+SHORT = 4
+
+#: Distinct words whose encoding a worker keeps (as many met lately and as many before), and expanded arcs.
+KEPT_WORDS, KEPT_ARCS = 60_000, 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -57,9 +62,14 @@ class Automaton:
         self.merged = len(merges)
         for when, (a, b, c) in enumerate(merges):
             self._compose(when, a, b, c)
-        self.longest = max(map(len, self.id_of), default=1)
         self.arcs: dict[int, bool] = {}
         self.words: dict[str, tuple[int, str]] = {}
+        self.old: dict[str, tuple[int, str]] = {}
+        self.reach: dict[bytes, int] = {}  # the longest token that begins with some bytes
+        for label in self.id_of:
+            if len(label) >= SHORT:
+                self.reach[label[:SHORT]] = max(len(label), self.reach.get(label[:SHORT], 0))
+        self.label_of = {str(i): label for i, label in enumerate(labels)}
         self.split = regex.compile(SPLIT)
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
@@ -120,10 +130,10 @@ class Automaton:
         A place from which no arc leads on is never entered again, so the time is in proportion to the word's length times
         the longest token's.
         """
-        n, longest, wide = len(word), self.longest, len(self.labels)
-        get, arcs, arc = self.id_of.get, self.arcs, self.arc
+        n, wide = len(word), len(self.labels)
+        get, arcs, arc, reach = self.id_of.get, self.arcs, self.arc, self.reach.get
         ids, ends, dead = [], [0], set()
-        at, size = 0, min(n, longest)
+        at, size = 0, min(n, reach(word[:SHORT], SHORT - 1))
         while at < n:
             state = ids[-1] if ids else -1
             while size:
@@ -141,7 +151,7 @@ class Automaton:
                 ids.append(token)
                 at += size
                 ends.append(at)
-                size = min(n - at, longest)
+                size = min(n - at, reach(word[at : at + SHORT], SHORT - 1))
             else:
                 dead.add(at)
                 ends.pop()
@@ -151,29 +161,42 @@ class Automaton:
 
     def encode(self, text: str) -> tuple[int, str]:
         """How many ids the text has, and the ids in decimal with commas."""
-        words, shown, n = self.words, [], 0
+        shown, n = [], 0
         for part in self.parts.split(text) if self.parts else [text]:
             if part in self.special:
                 shown.append(str(self.special[part]))
                 n += 1
                 continue
-            for word in self.split.findall(part):
-                known = words.get(word)
-                if known is None:
-                    if len(words) >= KEPT_WORDS:
-                        words.clear()
-                    ids = self.encode_word(word.encode())
-                    known = (len(ids), ",".join(map(str, ids)))
-                    if len(word) <= 64:
-                        words[word] = known
-                n += known[0]
-                shown.append(known[1])
+            split = self.split.findall(part)
+            found = list(map(self.words.get, split))
+            if None in found:
+                found = [x or self._kept(word) for x, word in zip(found, split, strict=True)]
+            n += sum(map(FIRST, found))
+            shown += map(SECOND, found)
         return n, ",".join(shown)
 
-    def decode(self, ids: Iterator[int]) -> str:
+    def _kept(self, word: str) -> tuple[int, str]:
+        """A word's number of ids and its ids in decimal; kept for the next time, unless it is long."""
+        known = self.words.get(word)
+        if known is None:
+            known = self.old.get(word)
+            if known is None:
+                ids = self.encode_word(word.encode())
+                known = len(ids), ",".join(map(str, ids))
+            if len(word) <= 64:
+                if len(self.words) >= KEPT_WORDS:  # words that are met again outlive the others
+                    self.old, self.words = self.words, {}
+                self.words[word] = known
+        return known
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The arc labels one after the other; bytes that are not UTF-8 become U+FFFD."""
         return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_shown(self, shown: str) -> str:
+        """The same of ids in decimal with commas."""
+        return b"".join(map(self.label_of.__getitem__, shown.split(","))).decode("utf-8", "replace") if shown else ""
+
 
 _loaded: dict[str, Automaton] = {}
 
@@ -218,8 +241,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             n, shown = auto.encode(text or "")
             out["n_tokens"].append(n)
             out["ids_sha256"].append(hashlib.sha256(shown.encode()).hexdigest())
-            decoded = auto.decode(map(int, shown.split(","))) if n else ""
-            out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(auto.decode_shown(shown).encode()).hexdigest())
         return out | {"doc_id": batch["doc_id"]}
 
     return common.own_columns(docs, ["doc_id", "text"]).mapInArrow(common.per_batch(DIGESTS, make), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
