@@ -401,8 +401,8 @@ def test_simhash_groups(docs, none):
     assert simhash.groups(none).count() == 0
 
 
-@pytest.mark.parametrize("held", [4096, 5])
-def test_links_connect_all_that_is_close(spark, monkeypatch, held):
+@pytest.mark.parametrize(("held", "blocks"), [(4096, simhash.TWO_GOLAY), (5, simhash.TWO_GOLAY), (4096, simhash.WITH_HAMMING)])
+def test_links_connect_all_that_is_close(spark, monkeypatch, held, blocks):
     monkeypatch.setattr(simhash, "HELD", held)
     r = random.Random(8)
     fps = set()
@@ -424,7 +424,7 @@ def test_links_connect_all_that_is_close(spark, monkeypatch, held):
         if (a ^ b).bit_count() <= 2:
             up[top(a)] = top(b)
     df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
-    found = simhash.links(df, 2, simhash.TWO_GOLAY).collect()
+    found = simhash.links(df, 2, blocks).collect()
     assert all(bin((x["a"] ^ x["b"]) & (1 << 64) - 1).count("1") <= 4 for x in found)
     near = {x: x for x in fps}
 
@@ -441,7 +441,7 @@ def test_links_connect_all_that_is_close(spark, monkeypatch, held):
 
 def test_codes_cover():
     r = random.Random(1)
-    for n in (23, 7):
+    for n in (23, 15, 7):
         for _ in range(300):
             x = r.getrandbits(n)
             home = int(simhash.decode(np.array([x]), n)[0][0])

@@ -26,8 +26,8 @@ SEED, BITS = 42, 64
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(common.WORD)
 #: Generator polynomials of the perfect codes, by length; and their radius.
-GENERATOR = {23: 0b101011100011, 7: 0b1011}
-RADIUS = {23: 3, 7: 1}
+GENERATOR = {23: 0b101011100011, 15: 0b10011, 7: 0b1011}
+RADIUS = {23: 3, 15: 1, 7: 1}
 #: Own fingerprints of an anchor that one task compares at once; an anchor with more is split.
 HELD = 4096
 
@@ -260,7 +260,7 @@ def links(fps: DataFrame, threshold: int, blocks: tuple[tuple[int, int], ...]) -
     and what is sent to it goes to each share, so no task holds an unbounded group.
     """
     n = common.partitions(fps.sparkSession)
-    fps = fps.repartition(n, "fp")  # few bytes in, many out: not to be coalesced
+    fps = fps.repartition(n, F.xxhash64("fp"))  # few bytes in, many out: not to be coalesced
     placed = fps.mapInArrow(place(blocks, threshold), "anchor long, own boolean, fp long")
     sizes = fps.mapInArrow(home_of(blocks), "anchor long").groupBy("anchor").count().filter(F.col("count") > HELD)
     shares = sizes.select("anchor", F.ceil(F.col("count") / HELD).cast("int").alias("shares"))
@@ -284,8 +284,11 @@ def home_of(blocks):
     return run
 
 
-#: Two Golay blocks; the 18 bits left over count in the comparison only.
+#: Blocks by how many distinct fingerprints they are for. With more blocks a fingerprint goes to more anchors and fewer
+#: fingerprints share one; what is linked stays the same. Bits outside the blocks count in the comparison only.
 TWO_GOLAY = ((0, 23), (23, 23))
+WITH_HAMMING = (*TWO_GOLAY, (46, 15))
+MANY = 1 << 26
 
 
 def groups(docs: DataFrame, width: int = 3, threshold: int = 2) -> DataFrame:
@@ -296,8 +299,8 @@ def groups(docs: DataFrame, width: int = 3, threshold: int = 2) -> DataFrame:
     all others. No rows give no rows; of the columns only doc_id and text are read.
     """
     fps, _ = common.written(fingerprints(docs, width), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    pairs = links(classes.select("fp"), threshold, TWO_GOLAY)
+    classes, _ = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    pairs = links(classes.select("fp"), threshold, TWO_GOLAY if classes.count() < MANY else WITH_HAMMING)
     reach = components(pairs)
     rooted = classes.join(reach.select(F.col("id").alias("fp"), F.col("component").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
