@@ -92,8 +92,8 @@ def mixed(docs: DataFrame, shares: DataFrame, block_rows: int = 1) -> DataFrame:
 
     shares: source and share (whole, at least 1; of repeated ones the largest). Blocks are block_rows rows of a source, in the
     order of a hash of doc_id; the last of a source may be shorter. A null source is a source of its own; a source that shares
-    doesn't name has share 1. Repeated rows each get their place; no row is dropped, and no rows give no rows. tie is a hash of
-    all columns.
+    doesn't name has share 1. Repeated rows each get their place; no row is dropped, and no rows give no rows. tie holds two
+    hashes of all columns.
     """
     names, apart = docs.columns, common.numbered_columns(docs)
     doc_id, source = (apart[f"c{names.index(n)}"] for n in ("doc_id", "source"))
@@ -110,15 +110,15 @@ def mixed(docs: DataFrame, shares: DataFrame, block_rows: int = 1) -> DataFrame:
 
 
 def tie(apart: DataFrame) -> Column:
-    return F.xxhash64(*apart.columns)
+    """Two hashes of all columns; never null, so rows that are dealt out by it can be joined where they are."""
+    return F.struct(F.xxhash64(*apart.columns).alias("x"), F.xxhash64(F.lit(1), *apart.columns).alias("y"))
 
 
 def arranged(docs: DataFrame, shares: DataFrame, block_rows: int = 1) -> DataFrame:
     """docs in the mixture's order: partitions are ranges of position, sorted. Same defined cases as mixed."""
     names, apart = docs.columns, common.numbered_columns(docs)
-    doc_id = f"c{names.index('doc_id')}"
-    order = mixed(docs, shares, block_rows).select("doc_id", F.col("tie").alias("of"), "position")
-    known = apart.withColumn("tie", tie(apart)).dropDuplicates([doc_id, "tie"])  # order has each repeat's row
+    order = mixed(docs, shares, block_rows).select("tie", "position")
+    known = apart.withColumn("tie", tie(apart)).dropDuplicates(["tie"])  # order has each repeat's row
     n = common.partitions(docs.sparkSession)
-    ordered = known.join(order, F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col("tie") == F.col("of"))).repartitionByRange(n, "position").sortWithinPartitions("position")
+    ordered = known.join(order, "tie").repartitionByRange(n, "position").sortWithinPartitions("position")
     return ordered.select(*apart.columns).toDF(*names)
