@@ -483,6 +483,30 @@ def test_one_of_each_group_stays(docs, none, spark):
     assert neardup.representatives(none).count() == 0
 
 
+def reduced(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r["doc_id"] for r in neardup.representatives(rows).collect())
+
+
+def least_of_groups(texts):
+    """By comparing all pairs."""
+    sets = [set(simhash.shingles(t.lower().encode(), neardup.WIDTH)) for t in texts]
+    up = simhash.Forest(len(texts))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= neardup.SIMILAR * len(a | sets[j]):
+                up.join(i, j)
+    return [i for i in range(len(texts)) if up.top(i) == i]
+
+
+def test_near_duplicates_of_few_distinct_words(spark):
+    r, texts = random.Random(5), []
+    for i in range(20):
+        words = [f"w{r.randrange(60)}" for _ in range(800)]
+        texts += [" ".join(words), " ".join(words + [f"new{i}x{k}" for k in range(120)])]
+    assert reduced(spark, texts) == least_of_groups(texts) == list(range(0, 40, 2))
+
+
 # pages
 
 
