@@ -499,6 +499,18 @@ def least_of_groups(texts):
     return [i for i in range(len(texts)) if up.top(i) == i]
 
 
+def test_near_duplicates_in_a_dense_cluster(spark):
+    base, r = prose(31, 300).split(), random.Random(4)
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for at in r.sample(range(300), r.randint(4, 9)):
+            words[at] = f"new{r.randrange(10**9)}"
+        texts.append(" ".join(words))
+    expected = least_of_groups(texts)
+    assert 1 < len(expected) < 150 and reduced(spark, texts) == expected
+
+
 def test_near_duplicates_of_few_distinct_words(spark):
     r, texts = random.Random(5), []
     for i in range(20):
