@@ -538,6 +538,15 @@ def test_main_text():
     assert html.main_text(plain).startswith(prose(0, 30)) and "x" not in html.main_text(plain).split("\n\n")[0][:1]
 
 
+def test_short_blocks_at_the_ends_of_the_main_text():
+    long, menu = [prose(i, 60) for i in range(4)], "<div id=menu><a>x</a><a>y</a></div>"
+    whole = ["Lead.", *long, "Two short.", "End."]
+    blocks = "".join(f"<p>{x}</p>" for x in whole)
+    assert html.main_text(f"<body>{menu}{blocks}<div class=footer>f</div>") == "\n\n".join(whole)
+    assert html.main_text(f"<body><div><a>x</a></div><div>{blocks}</div><div><a>y</a></div>") == "\n\n".join(whole)
+    assert html.main_text(f"<main><h1>Title</h1><p>Lead</p><article>{blocks}</article></main>") == "\n\n".join(["Title", "Lead", *whole])
+
+
 def test_names_that_tell_of_other_blocks():
     assert html.main_text("<div class='post has-sidebar no-comments'><p>" + prose(1, 40) + "</p></div>") == prose(1, 40)
     assert html.main_text("<div class='adSlot'>x</div><p>" + prose(1, 40)) == prose(1, 40)

@@ -3,11 +3,13 @@
 The events are laid out as lines, a new one at each block element. Each line gets its ratio of text to tags; a Gaussian
 smooths the ratios along the page, and lines over a threshold form clusters. The container (the innermost article or main, or
 else the body) whose clusters hold most text is the content, from which the blocks that pages mark as something else are left
-out. Within the content region no block is dropped, however short.
+out. Text of a main or article around the chosen one belongs to it. In a body without either the region reaches as far as the
+blocks that hold its clusters do. Within the content region no block is dropped, however short.
 """
 
 from __future__ import annotations
 
+import os.path
 import re
 from html.parser import HTMLParser
 
@@ -23,6 +25,8 @@ NOT_MAIN = frozenset("nav footer aside form button select textarea menu dialog f
 #: Elements that begin and end a line.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that group a page's blocks; those right in the body are grouped by it.
+GROUPS = frozenset("div section article main center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a following one of the same group ends, when its end tag is left out.
 ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -47,21 +51,23 @@ def marks(value: str) -> set[str]:
 
 
 class Lines(HTMLParser):
-    """Lays a page's events out as lines: [text parts, tags, container, left out, block that began it]."""
+    """Lays a page's events out as lines: [text parts, tags, container, left out, block that began it, groups it is in]."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [[[], 0, 0, False, ""]]
-        self.open: list[tuple[str, bool, int]] = []  # element, whether it's left out, container
+        self.lines: list[list] = [[[], 0, 0, False, "", ()]]
+        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, whether it's left out, container, groups from the outermost
         self.containers = 1
+        self.around: dict[int, int] = {}  # of a container the one it is in
+        self.groups = 0
 
     def _line(self, block: str = "") -> None:
-        out, container = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+        out, container, groups = self.open[-1][1:] if self.open else (False, 0, ())
         last = self.lines[-1]
         if last[0]:
-            self.lines.append([[], 0, container, out, block])
+            self.lines.append([[], 0, container, out, block, groups])
         else:
-            last[2:] = container, out, block
+            last[2:] = container, out, block, groups
 
     def _out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NOT_TEXT or tag in NOT_MAIN:
@@ -96,8 +102,12 @@ class Lines(HTMLParser):
         out = (self.open[-1][1] if self.open else False) or self._out(tag, attrs)
         container = self.open[-1][2] if self.open else 0
         if tag in ("article", "main"):
+            self.around[self.containers] = container
             container, self.containers = self.containers, self.containers + 1
-        self.open.append((tag, out, container))
+        groups = self.open[-1][3] if self.open else ()
+        if tag in GROUPS:
+            groups, self.groups = (*groups, self.groups), self.groups + 1
+        self.open.append((tag, out, container, groups))
         if tag in BLOCKS or tag in NOT_TEXT or out:
             self._line(tag)
 
@@ -134,7 +144,7 @@ def main_text(html: str) -> str:
     lines = [x for x in lines if x[0] or x[1]]
     if not lines:
         return ""
-    sizes = np.array([0 if out else len(x) for x, _, _, out, _ in lines], float)
+    sizes = np.array([0 if out else len(x) for x, _, _, out, *_ in lines], float)
     ratio = smooth(sizes / np.maximum(1, [tags for _, tags, *_ in lines]))
     content = (sizes > 0) & (ratio >= LEAST * ratio.mean())
     weight: dict[int, float] = {}
@@ -143,7 +153,10 @@ def main_text(html: str) -> str:
     inner = {c: w for c, w in weight.items() if c and w}
     if inner:
         best = max(inner, key=inner.get)
-        kept = [x for x, _, container, out, _ in lines if container == best and x and not out]
+        chosen = {best}
+        while best := parser.around[best]:
+            chosen.add(best)
+        kept = [x for x, _, container, out, *_ in lines if container in chosen and x and not out]
     else:
         at = np.flatnonzero(content)
         if not len(at):
@@ -151,7 +164,10 @@ def main_text(html: str) -> str:
         first = at[0]
         while first and (lines[first - 1][4] in HEADINGS or not lines[first - 1][0]) and not lines[first - 1][3]:
             first -= 1  # headings belong to what they stand over
-        kept = [x for x, _, _, out, _ in lines[first : at[-1] + 1] if x and not out]
+        holding = {lines[i][5] for i in at}
+        shared = os.path.commonprefix(list(holding))
+        inside = [first <= i <= at[-1] or x[5] in holding or (shared and x[5][: len(shared)] == shared) for i, x in enumerate(lines)]
+        kept = [x for (x, _, _, out, *_), of in zip(lines, inside, strict=True) if of and x and not out]
     return "\n\n".join(kept)
 
 
