@@ -256,14 +256,43 @@ def test_bpe_equals_the_library(docs, none, spark):
     assert all(r["decoded"] == (x or "") for r, x in zip(bpe.encode(docs.select("doc_id", "text").coalesce(1), BPE).collect(), [x for _, x in pairs(docs.coalesce(1))], strict=True))
 
 
-def test_the_automaton_on_random_bytes():
+def test_the_automaton_on_random_bytes(monkeypatch):
+    """Texts encoded together (words by columns), one by one (each word by itself) and in parts."""
     tokenizers = pytest.importorskip("tokenizers")
     t, auto, r = tokenizers.Tokenizer.from_file(BPE), bpe.Automaton.load(BPE), random.Random(2)
-    for _ in range(1500):
-        x = "".join(r.choice("aabcdehiorstn  \n.,'$$=-éß日🙂\u0301\x00") for _ in range(r.randint(0, 60)))
-        ids = t.encode(x, add_special_tokens=False).ids
-        n, shown = auto.encode(x)
-        assert shown == ",".join(map(str, ids)) and n == len(ids) and auto.decode(ids) == x
+    letters = "aabcdehiorstn  \n.,'$$=-éß日🙂\u0301\x00\u00a0\r\t٣"
+    texts_ = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["".join(r.choice("日本語é") for _ in range(300)) for _ in range(30)]
+    texts_ += ["'s", " 's", "it's", "'sound", "x'll'd", "?'s", "''s", "'", "a'", "'\ns", "don't'", "'re've", "<|endoftext|>'s<|endoftext|>", " <|endoftext|> ", "<|endoftext", "  ", "a  ", "\n\nb", "ab " * 3000]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts_]
+    for size in (1 << 22, 64):
+        monkeypatch.setattr(bpe, "TOGETHER", size)
+        totals = [bpe.Total(("ids", "decoded")) for _ in texts_]
+        for i, *part in auto.encode_all(texts_):
+            totals[i].add(*part)
+        assert [list(x.ids) for x in totals] == want and [x.decoded for x in totals] == texts_ == [t.decode(x, skip_special_tokens=False) for x in want]
+    for x, ids in zip(texts_[:300] + texts_[-30:], want[:300] + want[-30:], strict=True):
+        assert auto.encode(x) == (len(ids), ",".join(map(str, ids))) and auto.decode(ids) == x
+
+
+def test_long_words_of_the_automaton():
+    tokenizers = pytest.importorskip("tokenizers")
+    t, auto = tokenizers.Tokenizer.from_file(BPE), bpe.Automaton.load(BPE)
+    for x in ("ab" * 20_000, "=" * 5_000, "xyz" * 3_000 + " " + "é" * 3_000):
+        assert auto.encode(x)[1] == ",".join(map(str, t.encode(x, add_special_tokens=False).ids))
+
+
+def test_transitions():
+    r = np.random.default_rng(1)
+    known, held = bpe.Transitions(1000), {}
+    for _ in range(20):
+        keys = np.unique(r.integers(0, 1 << 40, 40))
+        keys = keys[known.get(keys) < 0]
+        known.put(keys, keys % 1000)
+        held |= dict.fromkeys(keys.tolist())
+    found = known.get(np.array(list(held)))
+    assert known.n == len(held) and (found == np.array(list(held)) % 1000).all() and (known.get(np.arange(50)) == -1).all()
+    known.put(np.arange(1 << 41, (1 << 41) + 900), np.arange(900))
+    assert known.n == 900 and (known.get(np.array(list(held))) == -1).all()
 
 
 def test_a_small_automaton_accepts_only_what_merges_make():
