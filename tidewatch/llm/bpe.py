@@ -38,7 +38,7 @@ PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *
 #: Expanded arcs and byte transitions that a worker keeps.
 KEPT_ARCS = 1 << 19
 #: Characters of texts that are encoded together; a longer text goes in parts.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 #: With fewer words that are still under way, each is finished by itself.
 FEW = 16
 #: The ends that the split pattern cuts off behind an apostrophe.
