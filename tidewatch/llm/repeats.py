@@ -9,7 +9,13 @@ orders them, and neighbours in the array give the longest match of each context
 which windows can be repeated; where one neighbour bears out all of them that settles it, and else windows at the offsets left
 open are compared exactly.
 
-A gram with more than HOT distinct contexts is not gathered: its windows are counted one by one, by content.
+A gram with many distinct contexts is split before that: the offsets of the anchor in its windows are halved, and each half of
+a context goes to the group of its core, the bytes that all windows of these offsets share. Equal windows have equal cores,
+and contexts that are equal once they are halved become one. Halves of halves follow until no group has more than HOT; with one
+offset left the core is the whole window, so it always ends.
+
+Where a text repeats itself in place, its anchors follow one another at equal distance with equal contexts; such a run is one
+row, so texts of any length and kind take memory by the part.
 """
 
 from __future__ import annotations
@@ -26,13 +32,15 @@ from pyspark.sql import functions as F
 from . import common
 from .suffixes import suffix_array
 
-#: Bytes of a symbol; symbols of one suffix array; distinct contexts of a gram that one task gathers.
-BLOCK, SYMBOLS, HOT = 16, 60_000, 5_000
+#: Bytes of a symbol; symbols of one suffix array; distinct contexts of a group that aren't split.
+BLOCK, SYMBOLS, HOT = 16, 60_000, 256
+#: Windows of a text that are looked at together.
+PART = 1 << 19
 #: Places of the position in a packed hash.
 PLACE = 24
 
-ANCHOR = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("p", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("g", pa.int64()), ("c", pa.int64())])
-ANCHOR_DDL = "k1 long, k2 long, p int, a int, b int, g long, c long"
+ANCHOR = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("p", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("g", pa.int64()), ("c", pa.int64()), ("step", pa.int32()), ("times", pa.int32())])
+ANCHOR_DDL = "k1 long, k2 long, p int, a int, b int, g long, c long, step int, times int"
 SPANS = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("spans", pa.list_(pa.int32()))])
 
 
@@ -67,46 +75,54 @@ def window_minima(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], front[width - 1 : n])
 
 
-def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each anchor: place, first and last window start (windows of one anchor follow one another), gram hash."""
-    none = np.zeros(0, np.int64)
+def anchors(text: bytes, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each anchor, part by part: place, first and last window start (windows of one anchor in a part follow one another),
+    gram hash, context hash, distance to the next one and how many there are at that distance with the same context."""
     if len(text) < length:
-        return none, none, none, none
+        return
     k = gram_length(length)
     raw = np.frombuffer(text, np.uint8)
     width = length - k + 1
-    found: list[np.ndarray] = []
-    part = 1 << 22  # long texts go in overlapping parts
-    for begin in range(0, len(raw) - length + 1, part):
-        h = gram_hashes(raw[begin : begin + part + length - 1], k)
+    for begin in range(0, len(raw) - length + 1, PART):  # parts overlap
+        h = gram_hashes(raw[begin : begin + PART + length - 1], k)
         packed = (h >> np.uint64(PLACE) << np.uint64(PLACE)) | np.arange(len(h), dtype=np.uint64)
-        found.append((window_minima(packed, width) & np.uint64((1 << PLACE) - 1)).astype(np.int64) + begin)
-    at = np.concatenate(found)
-    first = np.flatnonzero(np.diff(at, prepend=-1))
-    last = np.append(first[1:], len(at)) - 1
-    place = at[first]
-    grams = np.frombuffer(b"".join([hashlib.blake2b(text[p : p + k], digest_size=8).digest() for p in place.tolist()]), "<i8")
-    return place, first, last, grams
-
-
-def context_hash(text: bytes, p: int, a: int, b: int, length: int) -> int:
-    h = hashlib.blake2b(text[a : b + length], digest_size=8, salt=(p - a).to_bytes(8, "little"))
-    return int.from_bytes(h.digest(), "little", signed=True)
+        at = (window_minima(packed, width) & np.uint64((1 << PLACE) - 1)).astype(np.int64)
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        place, a, b = at[first] + begin, first + begin, np.append(first[1:], len(at)) - 1 + begin
+        grams = np.frombuffer(b"".join([hashlib.blake2b(text[p : p + k], digest_size=8).digest() for p in place.tolist()]), "<i8")
+        contexts_ = np.frombuffer(b"".join([context_hash(text, *z, length) for z in zip(place.tolist(), a.tolist(), b.tolist(), strict=True)]), "<i8")
+        step = np.diff(place, append=0)
+        alike = np.zeros(len(place), bool)  # this one and the next have one context
+        alike[:-1] = (grams[1:] == grams[:-1]) & (contexts_[1:] == contexts_[:-1]) & (step[:-1] <= length)
+        goes_on = np.zeros(len(place), bool)  # this one belongs to the run of the one before
+        goes_on[1:] = alike[:-1]
+        goes_on[2:] &= step[1:-1] == step[:-2]
+        head = np.flatnonzero(~goes_on)
+        times = np.diff(np.append(head, len(place)))
+        yield place[head], a[head], b[head], grams[head], contexts_[head], np.where(times > 1, step[head], 0), times
+
+
+def context_hash(text: bytes, p: int, a: int, b: int, length: int) -> bytes:
+    return hashlib.blake2b(text[a : b + length], digest_size=8, salt=(p - a).to_bytes(8, "little")).digest()
 
 
 def anchor_rows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             for part in common.rows_of(batch):
-                k1, k2, texts = part["k1"].to_pylist(), part["k2"].to_pylist(), common.encoded(part["text"])
-                out: list[list] = [[] for _ in ANCHOR]
-                for x, y, text in zip(k1, k2, texts, strict=True):
-                    p, a, b, g = (z.tolist() for z in anchors(text, length))
-                    if p:
-                        c = [context_hash(text, *z, length) for z in zip(p, a, b, strict=True)]
-                        for column, values in zip(out, ([x] * len(p), [y] * len(p), p, a, b, g, c), strict=True):
-                            column += values
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, ANCHOR, strict=True)], schema=ANCHOR)
+                for x, y, text in zip(part["k1"].to_pylist(), part["k2"].to_pylist(), common.encoded(part["text"]), strict=True):
+                    for found in anchors(text, length):
+                        held.append((np.full(len(found[0]), x), np.full(len(found[0]), y), *found))
+                        n += len(found[0])
+                    if n > PART:
+                        yield batch_of(held)
+                        held, n = [], 0
+        if held:
+            yield batch_of(held)
+
+    def batch_of(held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*held, strict=True), ANCHOR, strict=True)], schema=ANCHOR)
 
     return run
 
@@ -277,36 +293,62 @@ def settled(length: int):
     return run
 
 
-WINDOW = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("g", pa.int64()), ("c", pa.int64()), ("o", pa.int32()), ("n", pa.int64())])
+HALF = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("g2", pa.int64()), ("c2", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("context", pa.binary())])
 
 
-def windows(length: int):
-    """Each window of each context, by content."""
+def halves(length: int, size: int):
+    """Contexts cut by offsets in blocks of size; g2 tells the block and its core, c2 what is left of the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = lambda *x: int.from_bytes(hashlib.blake2b(b"".join([y if isinstance(y, bytes) else y.to_bytes(8, "little", signed=True) for y in x]), digest_size=8).digest(), "little", signed=True)
         for batch in batches:
+            rows = []
             for g, c, n, _, low, high, context in zip(*[batch[f.name].to_pylist() for f in CONTEXT], strict=True):
-                digests = b"".join([hashlib.blake2b(context[high - o : high - o + length], digest_size=16).digest() for o in range(low, high + 1)])
-                w = np.frombuffer(digests, "<i8").reshape(-1, 2)
-                k = len(w)
-                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), pa.array(np.full(k, g)), pa.array(np.full(k, c)), pa.array(np.arange(low, high + 1, dtype=np.int32)), pa.array(np.full(k, n))], schema=WINDOW)
+                for block in range(low // size, high // size + 1):
+                    a, b = max(low, block * size), min(high, block * size + size - 1)
+                    core, left = context[high - block * size : high - block * size - size + 1 + length], context[high - b : high - a + length]
+                    rows.append((g, c, n, number(g, size, block, core), number(a, b, left), a, b, left))
+            columns = list(zip(*rows, strict=True)) or [()] * len(HALF)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, HALF, strict=True)], schema=HALF)
 
     return run
 
 
+def with_sizes(once: DataFrame) -> DataFrame:
+    """Adds m, how many rows have a row's g, written apart so that a hot one's rows can be split."""
+    sizes, _ = common.written(once.groupBy("g").agg(F.count("*").alias("m")), "sizes")
+    return once.join(sizes, "g").select(*[f.name for f in CONTEXT])
+
+
+def spans_of(once: DataFrame, length: int, size: int) -> DataFrame:
+    """g, c and spans of the distinct contexts in once (a written table) whose offsets lie within blocks of size; groups with
+    more than HOT are halved first. A context may have several rows, of different offsets."""
+    n = common.partitions(once.sparkSession)
+    few = once.filter(F.col("m") <= HOT).repartition(n, "g").sortWithinPartitions("g", "c").mapInArrow(settled(length), "g long, c long, spans array<int>")
+    many = once.filter(F.col("m") > HOT)
+    if size == 1 or many.isEmpty():
+        return few
+    half = -(-size // 2)
+    parts, _ = common.written(many.mapInArrow(halves(length, half), "g long, c long, n long, g2 long, c2 long, low int, high int, context binary"), "halves")
+    each = parts.groupBy(F.col("g2").alias("g"), F.col("c2").alias("c")).agg(F.sum("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("context").alias("context"))
+    each, _ = common.written(with_sizes(each), "contexts")
+    found = spans_of(each, length, half).filter(F.size("spans") > 0).select(F.col("g").alias("g2"), F.col("c").alias("c2"), "spans")
+    return few.unionByName(parts.select("g", "c", "g2", "c2").join(found, ["g2", "c2"]).select("g", "c", "spans"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with k1 and k2, which tell rows apart by doc_id and text. Rows that repeat both are copies of one another."""
     return docs.withColumn("k1", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))).withColumn("k2", F.xxhash64("doc_id", "text"))
 
 
 def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """k1, k2 and covered (a list of places of anchors with spans of offsets) of the rows of keyed docs with repeated strings;
+    """k1, k2 and covered (a list of runs of anchors with spans of offsets) of the rows of keyed docs with repeated strings;
     and the packed texts."""
     every, every_path = common.written(docs.select("k1", "k2", "text").mapInArrow(anchor_rows(length), ANCHOR_DDL), "anchors")
-    often, _ = common.written(every.groupBy("g").count().filter("count > 1").select("g"), "often")  # so that a hot gram's rows can be split
+    often, _ = common.written(every.groupBy("g").agg(F.sum("times").alias("n")).filter("n > 1").select("g"), "often")  # so that a hot gram's rows can be split
     some, _ = common.written(every.join(often, "g", "left_semi"), "repeated")
     common.drop_path(docs.sparkSession, every_path)
-    classes = some.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "p", "a", "b")).alias("r"))
+    classes = some.groupBy("g", "c").agg(F.sum("times").cast("long").alias("n"), F.min(F.struct("k1", "k2", "p", "a", "b")).alias("r"))
     classes, _ = common.written(classes, "classes")
     many_of, _ = common.written(classes.groupBy("g").agg(F.count("*").alias("m")), "sizes")
     classes = classes.join(many_of, "g")
@@ -314,14 +356,8 @@ def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     wanted = classes.groupBy("r.k1", "r.k2").agg(F.collect_list(F.struct("g", "c", "n", "m", "r.p", "r.a", "r.b")).alias("wanted"))
     once = texts.join(wanted, ["k1", "k2"]).mapInArrow(contexts(length), "g long, c long, n long, m long, low int, high int, context binary")
     once, _ = common.written(once, "contexts")
-    n = common.partitions(docs.sparkSession)
-    few = once.filter(F.col("m") <= HOT).repartition(n, "g").sortWithinPartitions("g", "c").mapInArrow(settled(length), "g long, c long, spans array<int>")
-    each = once.filter(F.col("m") > HOT).mapInArrow(windows(length), "w1 long, w2 long, g long, c long, o int, n long")
-    twice = each.groupBy("w1", "w2").agg(F.sum("n").alias("t")).filter("t > 1").select("w1", "w2")
-    offsets = each.join(twice, ["w1", "w2"], "left_semi").groupBy("g", "c").agg(F.sort_array(F.collect_set("o")).alias("o"))
-    many = offsets.select("g", "c", F.flatten(F.transform("o", lambda x: F.array(x, x))).alias("spans"))
-    spans = few.unionByName(many).filter(F.size("spans") > 0)
-    covered = some.join(spans, ["g", "c"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("p", "spans")).alias("covered"))
+    spans = spans_of(once, length, length - gram_length(length) + 1).filter(F.size("spans") > 0)
+    covered = some.join(spans, ["g", "c"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "step", "times", "spans")).alias("covered"))
     return covered, texts
 
 
@@ -329,54 +365,59 @@ def cover(size: int, covered: list[dict] | None, length: int) -> np.ndarray:
     """Which of a text's bytes lie in a repeated window."""
     edge = np.zeros(size + 1, np.int32)
     for x in covered or ():
+        reach = (x["times"] - 1) * x["step"] + length  # the windows of a run overlap
         for first, last in zip(x["spans"][::2], x["spans"][1::2], strict=True):
             edge[x["p"] - last] += 1
-            edge[x["p"] - first + length] -= 1
+            edge[x["p"] - first + reach] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
-KEPT = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+def left_over(text: bytes, gone: np.ndarray, edges: np.ndarray) -> str:
+    """What is left as text; characters that a cut splits go whole."""
+    at = np.flatnonzero(edges)
+    return "".join([text[i:j].decode("utf-8", "ignore") for i, j in zip([0, *at.tolist()], [*at.tolist(), len(text)], strict=True) if i < j and not gone[i]])
 
 
-def kept(docs: DataFrame, length: int = 400, bytes_too: bool = False) -> DataFrame:
-    """Per row of keyed docs: what is left when repeated strings of length bytes are removed.
+KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
+
+
+def report(docs: DataFrame, length: int = 400) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and text (what is left) of each row of docs when repeated strings of
+    length bytes are removed.
 
     Texts count as UTF-8 bytes, null as empty; a string never crosses documents, overlapping ones all count, and all are judged
     on the input. Rows that repeat doc_id and text are copies of each other, so their long passages go in all of them. Texts
-    shorter than length stay whole. Columns: doc_id, k1, k2, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) on request.
+    shorter than length stay whole; very long ones are looked at part by part. The digest is of the bytes left; in text,
+    characters that a cut splits go whole. No rows give no rows; of the columns only doc_id and text are read.
     """
-    covered, texts = repeated(docs, length)
+    own = keyed(common.own_columns(docs, ["doc_id", "text"]))
+    covered, texts = repeated(own, length)
 
     def make(batch: pa.RecordBatch) -> dict:
         unpack, out = zstandard.ZstdDecompressor(), {f.name: [] for f in KEPT}
         for data, spans in zip(batch["packed"], batch["covered"].to_pylist(), strict=True):
-            text = unpack.decompress(data.as_py())
-            gone = cover(len(text), spans, length) if spans else np.zeros(0, bool)
-            edges = np.diff(gone.astype(np.int8), prepend=0, append=0)
-            left = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
+            text = left = unpack.decompress(data.as_py())
+            edges = np.zeros(0, np.int8)
+            if spans:
+                gone = cover(len(text), spans, length)
+                edges = np.diff(gone.astype(np.int8), prepend=0)
+                left = np.frombuffer(text, np.uint8)[~gone].tobytes()
             out["n_bytes"].append(len(text))
             out["n_removed"].append(len(text) - len(left))
             out["n_spans"].append(int((edges == 1).sum()))
             out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-            out["kept"].append(left if bytes_too else None)
-        return out | {"doc_id": batch["doc_id"], "k1": batch["k1"], "k2": batch["k2"]}
+            out["text"].append(left_over(text, gone, edges) if spans else text.decode())
+        return out | {"doc_id": batch["doc_id"]}
 
-    ddl = "doc_id long, k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    done = texts.join(covered, ["k1", "k2"], "left").mapInArrow(common.per_batch(KEPT, make), ddl)
-    return done if bytes_too else done.drop("kept")
-
-
-def report(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of docs; see kept() for the defined cases."""
-    own = keyed(common.own_columns(docs, ["doc_id", "text"]))
-    return kept(own, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+    return texts.join(covered, ["k1", "k2"], "left").mapInArrow(common.per_batch(KEPT, make), ddl).drop("text")
 
 
 def cleaned(docs: DataFrame, length: int) -> DataFrame:
     """docs with the repeated strings cut out of text and n_chars counted anew; rows of which no word is left are dropped.
 
     Characters that a cut splits go whole. All other columns pass through, and untouched rows stay as they are, null texts
-    included. Rows that repeat doc_id and text are copies of each other. See kept() for the rest.
+    included. Rows that repeat doc_id and text are copies of each other. See report() for the rest.
     """
     names = docs.columns
     apart = common.numbered_columns(docs)
@@ -393,7 +434,7 @@ def cleaned(docs: DataFrame, length: int) -> DataFrame:
                 if spans:
                     raw = texts[i].encode()
                     gone = cover(len(raw), spans, length)
-                    texts[i] = np.frombuffer(raw, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+                    texts[i] = left_over(raw, gone, np.diff(gone.astype(np.int8), prepend=0))
                 stays.append(not spans or bool(texts[i].strip()))
             columns = [pa.array(texts, batch.schema.field(text).type) if c == text else batch[c] for c in schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(stays, pa.bool_()))
