@@ -74,26 +74,27 @@ def brute_repeats(rows, length):
     out = []
     for d, t in rows:
         b = (t or "").encode()
-        gone = np.zeros(len(b), bool)
+        gone = np.zeros(len(b) + 2, bool)
         for i in range(len(b) - length + 1):
             if seen[b[i : i + length]] > 1:
-                gone[i : i + length] = True
-        left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
-        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(left).hexdigest()))
+                gone[i + 1 : i + 1 + length] = True
+        left = bytes(x for x, g in zip(b, gone[1:-1], strict=True) if not g)
+        edges = np.flatnonzero(np.diff(gone.astype(int)))  # where runs begin and end
+        fragments = [b[i:j] for i, j in zip([0, *edges[1::2]], [*edges[::2], len(b)], strict=True)]
+        out.append((d, len(b), int(gone.sum()), len(edges) // 2, hashlib.sha256(left).hexdigest(), "".join(x.decode("utf-8", "ignore") for x in fragments)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("length", [400, 60, 17])
-def test_repeats(docs, length):
+@pytest.mark.parametrize(("length", "part"), [(400, 1 << 19), (60, 64), (17, 7)])
+def test_repeats(docs, length, part, monkeypatch):
+    monkeypatch.setattr(repeats, "PART", part)
     small = docs.filter(F.coalesce(F.length("text"), F.lit(0)) < 20_000)
-    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.report(small, length).collect()]
-    assert sorted(got, key=repr) == brute_repeats(pairs(small), length)
+    assert sorted(map(tuple, repeats.report(small, length).collect()), key=repr) == brute_repeats(pairs(small), length)
 
 
-@pytest.mark.parametrize("hot", [5_000, 3])
+@pytest.mark.parametrize("hot", [512, 3])
 def test_repeats_of_partial_overlaps(spark, monkeypatch, hot):
-    """Windows shared with one text on the left and another on the right; and grams too frequent to gather."""
+    """Windows shared with one text on the left and another on the right; and groups with many contexts, which are halved."""
     monkeypatch.setattr(repeats, "HOT", hot)
     r = random.Random(3)
     core = prose(50, 40)
@@ -102,6 +103,21 @@ def test_repeats_of_partial_overlaps(spark, monkeypatch, hot):
     assert sorted(map(tuple, got), key=repr) == brute_repeats(rows, 90)
 
 
+@pytest.mark.parametrize("hot", [512, 2])
+def test_repeats_of_texts_that_repeat_themselves(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "PART", 100)
+    texts_ = ["a" * 700, "b" * 59, "b" * 60, "c" * 61, "ab" * 200, "x" + "ab" * 40 + "y", "abc\n" * 90, "é" * 45, "è" * 45, "d" * 61 + prose(1, 9), prose(1, 30), "日本語" * 30 + "z"]
+    rows = list(enumerate(texts_))
+    got = repeats.report(spark.createDataFrame(rows, "doc_id long, text string"), 60).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_repeats(rows, 60)
+
+
+def test_anchors_of_a_uniform_text_are_few():
+    found = list(repeats.anchors(b"a" * 3_000_000, 400))
+    assert sum(len(x[0]) for x in found) < 30 and sum(int(x[6].sum()) for x in found) >= 3_000_000 - 400
+
+
 def test_cleaned_keeps_columns_and_whole_characters(docs, none):
     got = repeats.cleaned(docs, 400)
     assert got.columns == docs.columns

@@ -88,10 +88,11 @@ WITH d AS (
   SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM s GROUP BY doc_id
 ), k AS (
   SELECT doc_id, n, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-    CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(n_spans + 1), lambda j: substr(h, CAST(2 * (CASE WHEN j = 0 THEN 0 ELSE ends[j] END) + 1 AS BIGINT), CAST(2 * ((CASE WHEN j = n_spans THEN n ELSE starts[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE ends[j] END)) AS BIGINT))), '') END AS kept
+    CASE WHEN n_spans IS NULL THEN [h] ELSE list_transform(range(n_spans + 1), lambda j: substr(h, CAST(2 * (CASE WHEN j = 0 THEN 0 ELSE ends[j] END) + 1 AS BIGINT), CAST(2 * ((CASE WHEN j = n_spans THEN n ELSE starts[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE ends[j] END)) AS BIGINT))) END AS kept
   FROM d LEFT JOIN p USING (doc_id)
 )
-SELECT doc_id, n AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k
+SELECT doc_id, n AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(array_to_string(kept, ''))) AS kept_sha256,
+  decode(unhex(array_to_string(list_transform(kept, lambda x: regexp_replace(regexp_replace(x, '^([89AB][0-9A-F])+', ''), '([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){0,2})$', '')), ''))) AS text FROM k
 """,
     "op3_pfair_mixing": """
 WITH RECURSIVE supply AS (

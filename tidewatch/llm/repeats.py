@@ -410,7 +410,7 @@ def report(docs: DataFrame, length: int = 400) -> DataFrame:
         return out | {"doc_id": batch["doc_id"]}
 
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
-    return texts.join(covered, ["k1", "k2"], "left").mapInArrow(common.per_batch(KEPT, make), ddl).drop("text")
+    return texts.join(covered, ["k1", "k2"], "left").mapInArrow(common.per_batch(KEPT, make), ddl)
 
 
 def cleaned(docs: DataFrame, length: int) -> DataFrame:
