@@ -36,9 +36,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
 
 #: Expanded arcs and byte transitions that a worker keeps.
-KEPT_ARCS = 1 << 19
+KEPT_ARCS = 1 << 18
 #: Characters of texts that are encoded together; a longer text goes in parts.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 #: With fewer words that are still under way, each is finished by itself.
 FEW = 16
 #: The ends that the split pattern cuts off behind an apostrophe.
@@ -235,20 +235,19 @@ class Automaton:
         depth = [0] * len(own)
         for node in range(1, len(own)):  # a node is numbered after the one above it
             depth[node] = depth[above[node][0]] + 1
-        self.fail, self.ends = [0] * len(own), [()] * len(own)
+        self.fail, ends = [0] * len(own), [()] * len(own)
         for node in sorted(range(1, len(own)), key=depth.__getitem__):
             parent, byte = above[node]
             if parent:
                 self.fail[node] = self._behind(self.fail[parent], byte)
             mine = ((own[node], depth[node]),) if own[node] >= 0 else ()
-            self.ends[node] = mine + self.ends[self.fail[node]]
+            ends[node] = mine + ends[self.fail[node]]
         self.node_table = Transitions(len(self.nodes) + KEPT_ARCS // 2)
         self.node_table.put(*(np.fromiter(x, np.int64, len(self.nodes)) for x in (self.nodes.keys(), self.nodes.values())))
-        each = np.fromiter(map(len, self.ends), np.int64, len(own))
-        self.ends_at = np.cumsum(each) - each
-        self.ends_of = each
-        flat = [x for ends in self.ends for x in ends]
-        self.end_token, self.end_size = (np.fromiter((x[k] for x in flat), np.int64, len(flat)) for k in (0, 1))
+        self.ends_of = np.fromiter(map(len, ends), np.int64, len(own))
+        self.ends_at = np.cumsum(self.ends_of) - self.ends_of
+        flat = [x for each in ends for x in each]
+        self.end_token, self.end_size = (np.fromiter((x[k] for x in flat), np.int32, len(flat)) for k in (0, 1))
 
     def _behind(self, node: int, byte: int) -> int:
         """The node of the longest end of what was read, the byte included, that begins a token."""
@@ -260,12 +259,13 @@ class Automaton:
 
     def encode_word(self, word: bytes) -> list[int]:
         """One pre-split word: of the tokens that end at each byte, the one that continues the accepted path."""
-        wide, ends, arcs, arc = len(self.labels), self.ends, self.arcs, self.arc
+        wide, arcs, arc = len(self.labels), self.arcs, self.arc
         last, node, at = [-1], 0, 0  # of each prefix: the last token of its path
         for byte in word:
             node = self._behind(node, byte)
             at += 1
-            for token, size in ends[node]:
+            where = slice(self.ends_at[node], self.ends_at[node] + self.ends_of[node])
+            for token, size in zip(self.end_token[where].tolist(), self.end_size[where].tolist(), strict=True):
                 if size == at:
                     break
                 state = last[at - size]
@@ -323,7 +323,7 @@ class Automaton:
                 if (self.ends_of[here] <= nth).any():
                     raise ValueError("a byte that no token has")
                 where = self.ends_at[here] + nth
-                token, size = self.end_token[where], self.end_size[where]
+                token, size = self.end_token[where].astype(np.int64), self.end_size[where]
                 state = last[(at + 1 - size) * n + which]
                 taken = size == at + 1
                 ask = np.flatnonzero(~taken)

@@ -87,12 +87,12 @@ def rows_of(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.Rec
         yield batch.slice(i, step)
 
 
-def per_batch(schema: pa.Schema, make: Callable[[pa.RecordBatch], dict]) -> Callable:
-    """For mapInArrow: make gives the columns of the output for each (sliced) input batch."""
+def per_batch(schema: pa.Schema, make: Callable[[pa.RecordBatch], dict], most_bytes: int = 8 << 20) -> Callable:
+    """For mapInArrow: make gives the columns of the output for each input batch, in slices of about most_bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in rows_of(batch):
+            for part in rows_of(batch, most_bytes):
                 if part.num_rows:
                     columns = make(part)
                     yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
