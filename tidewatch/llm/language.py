@@ -3,7 +3,8 @@
 Each word's emission scores come from its character n-grams (those with a word edge are its prefixes and suffixes) and from
 lexicons of words that the training rows use in one language almost alone. Transitions are learned with the emissions on
 sequences that switch language, and forward-backward gives each word's marginals; a document's language is the label with the
-highest mean. Texts are cut into chains of CHAIN words, all of them used.
+highest mean. A text is one chain, however long: it is worked on in blocks of CHAIN words at once, whose messages are carried
+on from block to block (a block's transfer matrix gives what it makes of any message).
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Hashed n-grams of each length; most words of a lexicon; words of a chain.
+#: Hashed n-grams of each length; most words of a lexicon; words of a block.
 BUCKETS, LEXICON, CHAIN = 1 << 15, 20_000, 64
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
-#: Bounds of the training sample: documents of a language, characters of each, languages.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGS = 300, 1500, 200
+#: Bounds of the training sample: pieces of a language's texts (all pieces are as likely), characters of a piece. More
+#: languages than LANGS are an error, not left out.
+SAMPLE_PIECES, SAMPLE_CHARS, LANGS = 300, 1500, 1000
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -146,17 +148,18 @@ class Model:
         counts = np.bincount(words.of_text, minlength=len(texts))
         total = np.zeros((len(texts), len(self.labels)))
         if len(scores):
-            chains = -(-counts // CHAIN)
-            offset = np.concatenate([[0], np.cumsum(chains)])
+            blocks = -(-counts // CHAIN)
+            offset = np.concatenate([[0], np.cumsum(blocks)])
             place = np.arange(len(scores)) - np.concatenate([[0], np.cumsum(counts)])[words.of_text]
-            chain, at = offset[words.of_text] + place // CHAIN, place % CHAIN
+            block, at = offset[words.of_text] + place // CHAIN, place % CHAIN
             laid = np.zeros((offset[-1], CHAIN, len(self.labels)), np.float32)
             mask = np.zeros(laid.shape[:2], bool)
-            laid[chain, at], mask[chain, at] = scores, True
+            laid[block, at], mask[block, at] = scores, True
+            before, behind = self.messages(laid, mask, blocks)
             for i in range(0, len(laid), 2048):
-                p = self.marginals_only(laid[i : i + 2048], mask[i : i + 2048])
-                laid[i : i + 2048] = p
-            p = laid[chain, at]
+                part = slice(i, i + 2048)
+                laid[part] = self.marginals_only(laid[part], mask[part], before[part], behind[part])
+            p = laid[block, at]
             for k in range(len(self.labels)):
                 total[:, k] = np.bincount(words.of_text, weights=p[:, k], minlength=len(texts))
         best = total.argmax(1) if len(texts) else []
@@ -170,13 +173,59 @@ class Model:
                 score.append(float(min(1.0, total[i, best[i]] / counts[i])))
         return out, score
 
-    def marginals_only(self, scores: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    def messages(self, scores: np.ndarray, mask: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What reaches each block from the blocks of its text before it (negative: it is the first) and behind it."""
+        n, length, k = scores.shape
+        before, behind = np.full((n, k), -1, np.float32), np.ones((n, k), np.float32)
+        if (blocks < 2).all():
+            return before, behind
+        first = np.concatenate([[0], np.cumsum(blocks)])[:-1]
+        inner = np.flatnonzero(np.repeat(blocks > 1, blocks))  # of texts of several blocks
+        where = np.full(n, -1)
+        where[inner] = np.arange(len(inner))
+        transfer = np.empty((len(inner), k, k), np.float32)
+        move = np.exp(self.move - self.move.max())
+        for i in range(0, len(inner), 2048):
+            rows = inner[i : i + 2048]
+            s, live = np.exp(scores[rows] - scores[rows].max(axis=2, keepdims=True)), mask[rows]
+            made = np.broadcast_to(np.eye(k, dtype=np.float32), (len(rows), k, k))
+            for t in range(length):
+                x = np.where(live[:, t, None, None], (made @ move) * s[:, t, None, :], made)
+                made = x / x.max((1, 2), keepdims=True)
+            transfer[i : i + 2048] = made
+        texts = np.flatnonzero(blocks > 1)
+        start = np.exp(scores[first[texts], 0] - scores[first[texts], 0].max(1, keepdims=True))
+        # a first block has no transition into its first word: its message comes from its own words
+        now = np.zeros((len(texts), k), np.float32)
+        for i in range(0, len(texts), 2048):
+            rows = first[texts[i : i + 2048]]
+            s, x = np.exp(scores[rows] - scores[rows].max(axis=2, keepdims=True)), start[i : i + 2048]
+            for t in range(1, length):
+                x = np.where(mask[rows, t, None], (x @ move) * s[:, t], x)
+                x = x / x.sum(1, keepdims=True)
+            now[i : i + 2048] = x
+        for step in range(1, int(blocks.max())):
+            live = blocks[texts] > step
+            texts, now = texts[live], now[live]
+            at = first[texts] + step
+            now = now / now.sum(1, keepdims=True)
+            before[at] = now
+            now = np.matmul(now[:, None, :], transfer[where[at]])[:, 0]
+        for step in range(int(blocks.max()) - 1, 0, -1):
+            at = first[blocks > step] + step
+            x = np.matmul(transfer[where[at]], behind[at][:, :, None])[:, :, 0]
+            behind[at - 1] = x / x.sum(1, keepdims=True)
+        return before, behind
+
+    def marginals_only(self, scores: np.ndarray, mask: np.ndarray, before: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        """The words' marginals in blocks, given the messages that reach these."""
         s = np.exp(scores - scores.max(axis=2, keepdims=True))
         s[~mask] = 1
         move = np.exp(self.move - self.move.max())
         length = s.shape[1]
-        forward, back = np.empty_like(s), np.ones_like(s[:, 0])
-        forward[:, 0] = s[:, 0] / s[:, 0].sum(1, keepdims=True)
+        forward, back = np.empty_like(s), behind
+        x = np.where(before[:, :1] < 0, s[:, 0], (before @ move) * s[:, 0])
+        forward[:, 0] = x / x.sum(1, keepdims=True)
         for t in range(1, length):
             x = np.where(mask[:, t, None], (forward[:, t - 1] @ move) * s[:, t], forward[:, t - 1])
             forward[:, t] = x / x.sum(1, keepdims=True)
@@ -277,14 +326,19 @@ def fold(doc_id) -> F.Column:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """The training rows: of each language at most about SAMPLE_DOCS documents outside the held-out fold, picked by a hash."""
+    """The training rows: of each language about SAMPLE_PIECES pieces, picked by a hash from the whole texts of all documents
+    outside the held-out fold. More than LANGS languages raise ValueError."""
     usable = common.own_columns(docs, ["doc_id", "text", "lang"]).filter(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGS).collect()
+    pieces = F.ceil(F.length("text") / SAMPLE_CHARS).cast("int")
+    counts = usable.groupBy("lang").agg(F.sum(pieces).alias("n")).limit(LANGS + 1).collect()
+    if len(counts) > LANGS:
+        raise ValueError(f"more than {LANGS} values of lang")
     if not counts:
         return []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1_000_000, 1 + 1_000_000 * SAMPLE_DOCS // r["count"])))])
-    picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")])
-    rows = picked.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang").limit(2 * SAMPLE_DOCS * len(counts)).collect()
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1_000_000, 1 + 1_000_000 * SAMPLE_PIECES // r["n"])))])
+    picked = F.filter(F.sequence(F.lit(0), pieces - 1), lambda i: F.pmod(F.xxhash64("doc_id", i), F.lit(1_000_000)) < share[F.col("lang")])
+    texts = F.transform(picked, lambda i: F.substring(F.col("text"), i * SAMPLE_CHARS + 1, F.lit(SAMPLE_CHARS)))
+    rows = usable.select(F.explode(texts).alias("text"), "lang").limit(2 * SAMPLE_PIECES * len(counts)).collect()
     return [(r["text"], r["lang"]) for r in rows]
 
 
@@ -294,8 +348,8 @@ PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score (0 to 1) added; other columns pass through.
 
-    A null text or one without a letter is ``und`` with score 0; repeated rows each get their row. Columns of docs that are
-    named lang_pred or score are replaced. Predictions use the text alone.
+    A null text or one without a letter is ``und`` with score 0; repeated rows each get their row; a very long text is one
+    chain like any other. Columns of docs that are named lang_pred or score are replaced. Predictions use the text alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
@@ -305,7 +359,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in common.rows_of(batch, 1 << 20):
+            for part in common.rows_of(batch, 1 << 19):
                 if part.num_rows:
                     lang, score = shared.value.predict(common.encoded(part.column(at)))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
