@@ -2,14 +2,14 @@
 
 The events are laid out as lines, a new one at each block element. Each line gets its ratio of text to tags; a Gaussian
 smooths the ratios along the page, and lines over a threshold form clusters. The container (the innermost article or main, or
-else the body) whose clusters hold most text is the content, from which the blocks that pages mark as something else are left
-out. Text of a main or article around the chosen one belongs to it. In a body without either the region reaches as far as the
-blocks that hold its clusters do. Within the content region no block is dropped, however short.
+else the body) whose clusters hold most text is the content region, with the text of a main or article around it; in a body
+without either the region reaches as far as the groups that hold its clusters do. From the region go the blocks that pages mark
+as something else, and menus that aren't marked: runs of lines that are links and nothing else, most of them outside all
+clusters. No other block is dropped, however short.
 """
 
 from __future__ import annotations
 
-import os.path
 import re
 from html.parser import HTMLParser
 
@@ -27,6 +27,9 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that group a page's blocks; those right in the body are grouped by it.
 GROUPS = frozenset("div section article main center".split())
+#: Elements across which an end tag of something inline doesn't reach.
+WALLS = frozenset("article main body table nav footer aside form".split())
+PASSES_WALLS = frozenset("html body article main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a following one of the same group ends, when its end tag is left out.
 ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -40,6 +43,8 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Sigma in lines of the smoothing, and the share of the mean ratio that a line of content reaches.
 SIGMA, LEAST = 1.0, 0.5
+#: Share of a line's characters that are in links, and lines that follow one another, in a menu at least.
+LINKED, MENU = 0.9, 3
 
 PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
@@ -50,29 +55,67 @@ def marks(value: str) -> set[str]:
     return {x for words in each if words and words[0] not in ABOUT_OTHERS for x in words}
 
 
+class Line:
+    """A line of a page: its text so far, its tags, its characters in links, and where it stands."""
+
+    __slots__ = ("parts", "tags", "linked", "container", "out", "block", "group")
+
+    def __init__(self, container: int, out: bool, block: str, group: int):
+        self.parts: list[str] = []
+        self.tags = self.linked = 0
+        self.container, self.out, self.block, self.group = container, out, block, group
+
+
 class Lines(HTMLParser):
-    """Lays a page's events out as lines: [text parts, tags, container, left out, block that began it, groups it is in]."""
+    """Lays a page's events out as lines, in time that is in proportion to the events however deep elements stand."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = [[[], 0, 0, False, "", ()]]
-        self.open: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, whether it's left out, container, groups from the outermost
+        self.lines = [Line(0, False, "", -1)]
+        self.open: list[tuple[str, bool, int, int]] = []  # element, whether it's left out, container, group
+        self.at: dict[str, list[int]] = {}  # of each element, where in open it stands; also of all WALLS and of what ends no p
         self.containers = 1
         self.around: dict[int, int] = {}  # of a container the one it is in
-        self.groups = 0
+        self.above: list[int] = []  # of a group the one it is in
+        self.behind: list[int] = []  # of a group the number of the first that is no longer in it
+
+    def _kinds(self, tag: str) -> list[str]:
+        kinds = [tag]
+        if tag in WALLS:
+            kinds.append("*wall")
+        if tag != "p" and (tag in BLOCKS or tag in NOT_TEXT):
+            kinds.append("*block")
+        return kinds
+
+    def _last(self, kind: str) -> int:
+        found = self.at.get(kind)
+        return found[-1] if found else -1
+
+    def _push(self, tag: str, out: bool, container: int, group: int) -> None:
+        for kind in self._kinds(tag):
+            self.at.setdefault(kind, []).append(len(self.open))
+        self.open.append((tag, out, container, group))
+
+    def _pop_from(self, i: int) -> None:
+        while len(self.open) > i:
+            tag, _, _, group = self.open.pop()
+            for kind in self._kinds(tag):
+                self.at[kind].pop()
+            if tag in GROUPS:
+                self.behind[group] = len(self.above)
 
     def _line(self, block: str = "") -> None:
-        out, container, groups = self.open[-1][1:] if self.open else (False, 0, ())
+        _, out, container, group = self.open[-1] if self.open else ("", False, 0, -1)
         last = self.lines[-1]
-        if last[0]:
-            self.lines.append([[], 0, container, out, block, groups])
+        if last.parts:
+            self.lines.append(Line(container, out, block, group))
         else:
-            last[2:] = container, out, block, groups
+            last.container, last.out, last.block, last.group = container, out, block, group
 
     def _out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NOT_TEXT or tag in NOT_MAIN:
             return True
-        inside = any(x[0] in ("article", "main") for x in self.open)
+        inside = bool(self.at.get("article") or self.at.get("main"))
         if tag == "header" and not inside:
             return True
         for name, value in attrs:
@@ -83,50 +126,51 @@ class Lines(HTMLParser):
         return False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.lines[-1][1] += 1
+        self.lines[-1].tags += 1
         if tag in VOID:
             if tag == "hr":
                 self._line()
             elif tag == "br":
-                self.lines[-1][0].append(" ") if self.lines[-1][0] else None
+                self.lines[-1].parts.append(" ") if self.lines[-1].parts else None
             return
         while self.open and tag in ENDED_BY.get(self.open[-1][0], ()):
-            self.open.pop()
-        if tag in BLOCKS:
-            for i in range(len(self.open) - 1, -1, -1):  # an open p ends at a block, with what is open in it
-                if self.open[i][0] == "p" and tag in ENDED_BY["p"]:
-                    del self.open[i:]
-                    break
-                if self.open[i][0] in BLOCKS or self.open[i][0] in NOT_TEXT:
-                    break
-        out = (self.open[-1][1] if self.open else False) or self._out(tag, attrs)
-        container = self.open[-1][2] if self.open else 0
+            self._pop_from(len(self.open) - 1)
+        if tag in BLOCKS and self._last("p") > self._last("*block"):  # an open p ends at a block, with what is open in it
+            self._pop_from(self._last("p"))
+        _, out, container, group = self.open[-1] if self.open else ("", False, 0, -1)
+        out = out or self._out(tag, attrs)
         if tag in ("article", "main"):
             self.around[self.containers] = container
             container, self.containers = self.containers, self.containers + 1
-        groups = self.open[-1][3] if self.open else ()
         if tag in GROUPS:
-            groups, self.groups = (*groups, self.groups), self.groups + 1
-        self.open.append((tag, out, container, groups))
+            self.above.append(group)
+            self.behind.append(0)
+            group = len(self.above) - 1
+        self._push(tag, out, container, group)
         if tag in BLOCKS or tag in NOT_TEXT or out:
             self._line(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.lines[-1][1] += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                was = self.open[i][1]
-                del self.open[i:]
-                if tag in BLOCKS or tag in NOT_TEXT or was:
-                    self._line()
-                break
-            if self.open[i][0] in ("article", "main", "body", "table", "nav", "footer", "aside", "form") and tag not in ("html", "body", "article", "main"):
-                break
+        self.lines[-1].tags += 1
+        i = self._last(tag)
+        if i < 0 or (tag not in PASSES_WALLS and self._last("*wall") > i):
+            return
+        out = self.open[i][1]
+        self._pop_from(i)
+        if tag in BLOCKS or tag in NOT_TEXT or out:
+            self._line()
 
     def handle_data(self, data: str) -> None:
+        line = self.lines[-1]
         if self.open and self.open[-1][1]:
-            self.lines[-1][3] = True
-        self.lines[-1][0].append(data)
+            line.out = True
+        if self.at.get("a"):
+            line.linked += len(data.strip())
+        line.parts.append(data)
+
+    def close(self) -> None:
+        super().close()
+        self._pop_from(0)
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -135,47 +179,72 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
+def clusters(sizes: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Which lines are in a cluster: their smoothed ratio of text to tags reaches LEAST of the mean."""
+    ratio = smooth(sizes / np.maximum(1, tags))
+    return (sizes > 0) & (ratio >= LEAST * ratio.mean())
+
+
+def menus(texts: list[str], lines: list[Line], content: np.ndarray) -> np.ndarray:
+    """Which lines are in a run of MENU or more that are nothing but links, most of them outside all clusters."""
+    link = np.array([bool(x) and line.linked >= LINKED * len(x) for x, line in zip(texts, lines, strict=True)])
+    out, i = np.zeros(len(texts), bool), 0
+    shown = [k for k, x in enumerate(texts) if x and not lines[k].out]
+    while i < len(shown):
+        j = i
+        while j < len(shown) and link[shown[j]]:
+            j += 1
+        if j - i >= MENU and 2 * content[shown[i:j]].sum() < j - i:
+            out[shown[i:j]] = True
+        i = max(j, i + 1)
+    return out
+
+
 def main_text(html: str) -> str:
     """The blocks of the content region in page order, two newlines between."""
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [(SPACE.sub(" ", "".join(x)).strip(), *rest) for x, *rest in parser.lines]
-    lines = [x for x in lines if x[0] or x[1]]
+    lines = parser.lines
+    texts = [SPACE.sub(" ", "".join(x.parts)).strip() for x in lines]
+    there = [i for i, (x, line) in enumerate(zip(texts, lines, strict=True)) if x or line.tags]
+    lines, texts = [lines[i] for i in there], [texts[i] for i in there]
     if not lines:
         return ""
-    sizes = np.array([0 if out else len(x) for x, _, _, out, *_ in lines], float)
-    ratio = smooth(sizes / np.maximum(1, [tags for _, tags, *_ in lines]))
-    content = (sizes > 0) & (ratio >= LEAST * ratio.mean())
+    sizes = np.array([0 if line.out else len(x) for x, line in zip(texts, lines, strict=True)], float)
+    content = clusters(sizes, np.array([x.tags for x in lines]))
     weight: dict[int, float] = {}
-    for (_, _, container, *_), size, chosen in zip(lines, sizes, content, strict=True):
-        weight[container] = weight.get(container, 0) + size * chosen
+    for line, size, chosen in zip(lines, sizes, content, strict=True):
+        weight[line.container] = weight.get(line.container, 0) + size * chosen
     inner = {c: w for c, w in weight.items() if c and w}
     if inner:
         best = max(inner, key=inner.get)
         chosen = {best}
         while best := parser.around[best]:
             chosen.add(best)
-        kept = [x for x, _, container, out, *_ in lines if container in chosen and x and not out]
+        inside = [x.container in chosen for x in lines]
     else:
         at = np.flatnonzero(content)
         if not len(at):
             return ""
         first = at[0]
-        while first and (lines[first - 1][4] in HEADINGS or not lines[first - 1][0]) and not lines[first - 1][3]:
+        while first and (lines[first - 1].block in HEADINGS or not texts[first - 1]) and not lines[first - 1].out:
             first -= 1  # headings belong to what they stand over
-        holding = {lines[i][5] for i in at}
-        shared = os.path.commonprefix(list(holding))
-        inside = [first <= i <= at[-1] or x[5] in holding or (shared and x[5][: len(shared)] == shared) for i, x in enumerate(lines)]
-        kept = [x for (x, _, _, out, *_), of in zip(lines, inside, strict=True) if of and x and not out]
-    return "\n\n".join(kept)
+        holding = {lines[i].group for i in at}
+        shared = min(holding)  # the innermost group around all of them
+        while shared >= 0 and max(holding) >= parser.behind[shared]:
+            shared = parser.above[shared]
+        inside = [first <= i <= at[-1] or x.group in holding or (shared >= 0 and shared <= x.group < parser.behind[shared]) for i, x in enumerate(lines)]
+    menu = menus(texts, lines, content)
+    return "\n\n".join([x for x, line, of, m in zip(texts, lines, inside, menu, strict=True) if of and x and not line.out and not m])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each row of pages.
 
     A null or empty html gives an empty text; a null url stays null; repeated rows each get their row; of the columns only
-    page_id, url and html are read. Broken or cut markup is read as far as it goes.
+    page_id, url and html are read. Broken or cut markup is read as far as it goes; a page's length and the depth of its
+    elements only add to the time in proportion.
     """
 
     def make(batch: pa.RecordBatch) -> dict:
