@@ -1,7 +1,7 @@
 """Document fingerprints by a homomorphic multiset hash of paragraphs.
 
 A paragraph (a line with a word in it, trimmed) is hashed to a wide vector; a document's fingerprint is the sum of its
-paragraphs' vectors modulo 2^16 in each lane. So the order of paragraphs doesn't matter, and one is inserted or deleted by
+paragraphs' vectors modulo 2^32 in each lane. So the order of paragraphs doesn't matter, and one is inserted or deleted by
 adding or subtracting its vector. A vector has two parts: EQUAL lanes of a digest, which tell multisets of paragraphs apart,
 and LIKE lanes that are themselves a sum over the paragraph's word triples of a sign in one lane each, so that the angle
 between two fingerprints follows what share of triples the documents have in common.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Lanes of 16 bits.
-EQUAL, LIKE = 64, 256
+#: Lanes of 32 bits. A text would need more than 2^31 triples for a lane of the second kind to wrap.
+EQUAL, LIKE = 32, 256
 WORD = re.compile(common.WORD)
 
 
@@ -32,7 +32,7 @@ def paragraphs(text: bytes) -> list[bytes]:
 
 def add(total: np.ndarray, paragraph: bytes, times: int = 1) -> None:
     """Inserts a paragraph into a fingerprint (deletes it with times = -1)."""
-    total += vector(paragraph) * np.uint16(times % (1 << 16))
+    total += vector(paragraph) * np.uint32(times % (1 << 32))
 
 
 def vector(paragraph: bytes) -> np.ndarray:
@@ -41,21 +41,21 @@ def vector(paragraph: bytes) -> np.ndarray:
 
 def vectors(texts: list[bytes]) -> np.ndarray:
     """The summed vectors of each text's paragraphs: texts x (EQUAL + LIKE) lanes."""
-    out = np.zeros((len(texts), EQUAL + LIKE), np.uint16)
+    out = np.zeros((len(texts), EQUAL + LIKE), np.uint32)
     every: list[bytes] = []
     owner: list[int] = []
     for i, text in enumerate(texts):
         own = paragraphs(text)
         if own:
-            lanes = np.frombuffer(b"".join([hashlib.shake_128(p).digest(2 * EQUAL) for p in own]), "<u2").reshape(-1, EQUAL)
-            out[i, :EQUAL] = lanes.sum(0, dtype=np.uint16)
+            lanes = np.frombuffer(b"".join([hashlib.shake_128(p).digest(4 * EQUAL) for p in own]), "<u4").reshape(-1, EQUAL)
+            out[i, :EQUAL] = lanes.sum(0, dtype=np.uint32)
             every += own
             owner += [i] * len(own)
     if every:
         lane, sign, of = triples(every)
         at = np.asarray(owner)[of] * LIKE + lane
         sums = np.bincount(at, weights=sign, minlength=len(texts) * LIKE).astype(np.int64)
-        out[:, EQUAL:] = (sums.reshape(len(texts), LIKE) & 0xFFFF).astype(np.uint16)
+        out[:, EQUAL:] = (sums.reshape(len(texts), LIKE) & 0xFFFFFFFF).astype(np.uint32)
     return out
 
 
@@ -91,16 +91,16 @@ def triples(paragraphs_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def shown(fingerprints: np.ndarray) -> list[str]:
-    return [base64.b64encode(x.astype("<u2").tobytes()).decode() for x in fingerprints]
+    return [base64.b64encode(x.astype("<u4").tobytes()).decode() for x in fingerprints]
 
 
 def read(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), "<u2")
+    return np.frombuffer(base64.b64decode(fingerprint), "<u4")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of rows of fingerprints: 1 where equal, else the cosine of the LIKE lanes (as signed numbers), 0 where under 0."""
-    x, y = a[:, EQUAL:].view(np.int16).astype(float), b[:, EQUAL:].view(np.int16).astype(float)
+    x, y = a[:, EQUAL:].copy().view(np.int32).astype(float), b[:, EQUAL:].copy().view(np.int32).astype(float)
     norm = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     cosine = np.divide((x * y).sum(1), norm, out=np.zeros(len(a)), where=norm > 0)
     return np.where((a == b).all(1), 1.0, np.clip(cosine, 0, 1))
@@ -142,14 +142,24 @@ def ranges(docs: DataFrame, n: int) -> DataFrame:
     places = F.when(F.col("before").isNotNull(), F.array(here, F.struct(F.col("before").alias("range"), F.lit(True).alias("tail")))).otherwise(F.array(here))
     on = (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))
     told = docs.join(F.broadcast(heads), on, "left")  # n rows
-    return told.withColumn("place", F.explode(places)).select("doc_id", "text", "place.range", "place.tail", "hash")
+    laid = told.withColumn("place", F.explode(places)).select("doc_id", "text", "place.range", "place.tail", "hash")
+    return laid.withColumn("slot", F.element_at(F.array(*[F.lit(x) for x in slots(spark, n + 1)]), F.col("range") + 2))
+
+
+def slots(spark, n: int) -> list[int]:
+    """n numbers that a repartition by them into n parts puts into one part each."""
+    part = F.pmod(F.hash(F.col("id").cast("int")), F.lit(n))
+    found = spark.range(0, 50 * n + 500, 1, 1).groupBy(part.alias("part")).agg(F.min("id").alias("id")).collect()
+    own = {r["part"]: r["id"] for r in found}
+    return [int(own.get(i, i)) for i in range(n)]
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its text after an edit, and their likeness, with the next document's as well.
 
     The next document is the one with the next doc_id, after the last the first; among rows with one doc_id (null comes first)
-    the order is by a hash of the text. A null text counts as empty; two empty fingerprints are alike (1).
+    the order is by a hash of the text. A null text counts as empty; two empty fingerprints are alike (1). Texts of any length
+    and any number of repeats count in full.
     Repeated rows each get their row; of the columns only doc_id and text are read.
     """
     spark = docs.sparkSession
@@ -175,5 +185,5 @@ def compare(docs: DataFrame) -> DataFrame:
                     columns = [[a[1] for a, _ in pairs], [len(a[2]) for a, _ in pairs], [hashlib.sha256(x).hexdigest() for x in changed], shown(f), shown(e), likeness(f, e), likeness(f, g)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, COMPARED, strict=True)], schema=COMPARED)
 
-    ordered = laid.repartition(n, "range").sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_first(), "hash")
+    ordered = laid.repartition(n + 1, F.col("slot").cast("int")).sortWithinPartitions("range", "tail", F.col("doc_id").asc_nulls_first(), "hash")
     return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
