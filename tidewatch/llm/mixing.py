@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Most sources that are scheduled by a share of their own (the state of one SQL aggregate); slots of a frame at most.
-FRAME = 1000
+#: Slots of a frame, or so, and most that a frame may have (it is the state of one SQL aggregate): more is an error.
+FRAME, MOST = 1000, 10_000
 
 
 def tempered(counts: DataFrame, alpha: float = 0.5, frame: int = FRAME) -> DataFrame:
@@ -83,6 +83,7 @@ def timetable(supply: DataFrame, block_rows: int) -> DataFrame:
     phases = active.groupBy("phase", "since", "until").agg(F.array_sort(F.collect_list(F.struct(F.col("code").alias("source"), "share"))).alias("shares"), F.sum("share").alias("frame"), F.sum(F.when(F.col("frames") == F.col("until"), F.col("missing")).otherwise(0)).alias("missing"))
     before = Window.orderBy("phase").rowsBetween(Window.unboundedPreceding, -1)  # a row per phase
     length = (F.col("until") - F.col("since")) * F.col("frame")
+    phases = phases.withColumn("frame", F.when(F.col("frame") <= MOST, F.col("frame")).otherwise(F.raise_error(F.lit(f"the shares add up to more than {MOST} slots")).cast("long")))
     phases = phases.withColumn("slots_before", F.coalesce(F.sum(length).over(before), F.lit(0))).withColumn("rows_before", F.coalesce(F.sum(length * block_rows - F.col("missing")).over(before), F.lit(0)))
     return phases.withColumn("slots", schedule(F.col("shares"), F.col("frame"))).select("phase", "since", "frame", "slots_before", "rows_before", F.posexplode("slots").alias("slot", "at")).select("phase", "since", "frame", "slots_before", "rows_before", "slot", F.col("at.source").alias("code"), F.col("at.j").alias("j"))
 
@@ -92,7 +93,8 @@ def mixed(docs: DataFrame, shares: DataFrame, block_rows: int = 1) -> DataFrame:
 
     shares: source and share (whole, at least 1; of repeated ones the largest). Blocks are block_rows rows of a source, in the
     order of a hash of doc_id; the last of a source may be shorter. A null source is a source of its own; a source that shares
-    doesn't name has share 1. Repeated rows each get their place; no row is dropped, and no rows give no rows. tie holds two
+    doesn't name has share 1. Shares that add up to more than MOST are an error, as is a source too many for that: none is left
+    out. Repeated rows each get their place; no row is dropped, and no rows give no rows. tie holds two
     hashes of all columns.
     """
     names, apart = docs.columns, common.numbered_columns(docs)
