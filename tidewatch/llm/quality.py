@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 
 from . import common
-from .bpe import SPLIT
+from .bpe import SPLIT, word_starts
 
 #: Per script (by most letters): characters a token at least and at most, share of tokens that are parts of a character at
 #: most, bits of token entropy (of order two, so that a separator between all cells shows) at least. Set on labelled rows:
@@ -48,15 +49,17 @@ def vocabulary(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return _loaded[path]
 
 
-def pieces(text: str, most: int = 1 << 16) -> list[str]:
-    """The text in parts that begin at white space where there is any, so that an endless run can't fill the stack."""
-    out, i = [], 0
-    while len(text) - i > most:
-        j = max(text.rfind(" ", i + 1, i + most), text.rfind("\n", i + 1, i + most))
-        j = j if j > i else i + most
-        out.append(text[i:j])
+def pieces(text: str, most: int = 1 << 16) -> Iterator[str]:
+    """The text in parts of about most characters, cut where the split pattern begins a word, so that no token is."""
+    if len(text) <= most:
+        yield text
+        return
+    starts = np.append(word_starts(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([0, len(text)])), len(text))
+    i = 0
+    while i < len(text):
+        j = int(starts[max(np.searchsorted(starts, i + most, "right") - 1, np.searchsorted(starts, i, "right"))])
+        yield text[i:j]
         i = j
-    return [*out, text[i:]]
 
 
 def fertility(text: str, path: str) -> tuple[float, float, float, int]:
@@ -115,8 +118,8 @@ def judge(text: str, path: str, bands: dict | None = None) -> dict:
 def rules(docs: DataFrame, path: str, bands: dict | None = None) -> DataFrame:
     """One row per row of docs: the base counts, the fertility measures and the verdict.
 
-    A null or empty text has no words, so it fails the base rules; repeated rows each get their row; of the columns only
-    doc_id and text are read. ``path`` is a rank file of a byte-level vocabulary.
+    A null or empty text has no words, so it fails the base rules; repeated rows each get their row; a very long text counts
+    whole, in parts that cut no token; of the columns only doc_id and text are read. ``path`` is a rank file of a byte-level vocabulary.
     """
 
     def make(batch: pa.RecordBatch) -> dict:
