@@ -2,14 +2,14 @@
 
 A capture is three records: the response (or, where another one has the same payload, a revisit that refers to it), and its
 request and metadata, which name it as concurrent. Archives are written by Spark's text writer, whose separator between rows
-is what WARC puts behind each record, and read whole by its binary reader, file by file.
+is what WARC puts behind each record (so a file is one gzip member). Compressed archives are read by its text reader as a
+stream, cut at the same separator, of which no more than a record is held; others are read whole, file by file.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from . import common
 
 END = "\r\n\r\n"
-#: Payloads of at least so many bytes are stored once; records of a file, so that one file fits in a task's memory.
+#: Payloads of at least so many bytes are stored once; records of a file at most.
 LEAST_REVISIT, RECORDS_A_FILE = 100, 6_000
+#: Records, and bytes of theirs, that are handed on together.
+ROWS, BYTES = 2000, 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -45,7 +47,8 @@ def write(pages: DataFrame, path: str) -> None:
 
     Of rows whose payloads (html as UTF-8; null: empty) are equal and of LEAST_REVISIT bytes or more, the one with the smallest
     page_id is the response and the others revisit it; rows that repeat that page_id are responses too. Null page_ids come
-    last. Line breaks in a url are written percent-encoded, and a null url leaves the target out.
+    last. Line breaks in a url are written percent-encoded, and a null url leaves the target out. No rows make archives without
+    records; a page of any length is a record like any other.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = common.own_columns(pages, ["page_id", "url", "html"]).select("page_id", "url", body.alias("body")).withColumns({"size": F.octet_length("body"), "sha": F.sha2(F.col("body").cast("binary"), 256)})
@@ -67,55 +70,87 @@ def write(pages: DataFrame, path: str) -> None:
     rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
 
 
-def parse(data: bytes, payloads: bool) -> Iterator[tuple]:
-    """The records of an archive, in RECORD's columns. What follows a broken record in its file raises ValueError."""
-    at, end = 0, END.encode()
-    while at < len(data):
-        stop = data.find(end, at)
-        if stop < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:stop].decode().split("\r\n")
-        field = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+def parse(chunks: Iterable[bytes], payloads: bool) -> Iterator[tuple]:
+    """The records of an archive that comes in chunks, in RECORD's columns. A broken record raises ValueError; what follows a
+    last record but separators is none."""
+    end, held, size, source = END.encode(), bytearray(), 0, iter(chunks)
+
+    def more(least: int) -> bool:
+        while len(held) < least:
+            chunk = next(source, None)
+            if chunk is None:
+                return False
+            held.extend(chunk)
+        return True
+
+    while True:
+        at = held.find(end)
+        while at < 0 and more(len(held) + 1):
+            at = held.find(end)
+        if not held.strip():
+            if not more(len(held) + 1):
+                return
+            continue
+        if not held.startswith(b"WARC/") or at < 0:
+            raise ValueError(f"no WARC record where {bytes(held[:20])!r} is")
+        field = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in held[:at].decode().split("\r\n")[1:])}
         size = int(field["content-length"])
-        block = data[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
-        if len(block) != size or data[at : at + 4] != end:
+        if not more(at + 4 + size):
             raise ValueError(f"record {field.get('warc-record-id')} is cut")
-        at += 4
+        block = bytes(held[at + 4 : at + 4 + size])
+        if more(at + 8 + size) and held[at + 4 + size : at + 8 + size] != end:
+            raise ValueError(f"record {field.get('warc-record-id')} is cut")
+        del held[: at + 8 + size]
         head, _, payload = block.partition(end) if field.get("content-type", "").startswith("application/http") else (block, b"", b"")
         full = field["warc-type"] == "response"
         yield (field.get("warc-record-id"), field["warc-type"], field.get("warc-target-uri"), field.get("warc-concurrent-to"), field.get("warc-refers-to"), field.get("warc-date"), field.get("warc-payload-digest"), len(payload) if full else None, hashlib.sha256(payload).hexdigest() if full else None, head.decode("utf-8", "replace"), payload if payloads and full else None)
 
 
+def record_batches(records: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for x in records:
+        rows.append(x)
+        size += len(x[-1] or b"")
+        if len(rows) == ROWS or size > BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RECORD, strict=True)], schema=RECORD)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RECORD, strict=True)], schema=RECORD)
+
+
+def by_file(rows: Iterator[tuple[str, bytes]]) -> Iterator[Iterator[bytes]]:
+    """Of rows (file, chunk) each file's chunks, with the separators that they were cut at."""
+    held = next(rows, None)
+
+    def of(name: str) -> Iterator[bytes]:
+        nonlocal held
+        while held is not None and held[0] == name:
+            yield held[1] + END.encode()
+            held = next(rows, None)
+
+    while held is not None:
+        chunks = of(held[0])
+        yield chunks
+        for _ in chunks:
+            pass
+
+
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """The records of all archives at a path, compressed or not; payloads only on request."""
+    """The records of all archives at a path, compressed (*.gz) or not; payloads only on request. No archives, no records."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((f, c.as_py() or b"") for batch in batches for f, c in zip(batch["file"].to_pylist(), batch["chunk"], strict=True))
+        yield from record_batches(x for chunks in by_file(rows) for x in parse(chunks, payloads))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch["content"]:
-                data = data.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    data = gunzip(data)
-                rows = []
-                for x in parse(data, payloads):
-                    rows.append(x)
-                    if len(rows) == 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RECORD, strict=True)], schema=RECORD)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RECORD, strict=True)], schema=RECORD)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, DDL)
-
-
-def gunzip(data: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        data = member.unused_data
-    return b"".join(out)
+                yield from record_batches(parse([data.as_py()], payloads))
+
+    common.bound_batches(spark)
+    packed = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path).select(F.input_file_name().alias("file"), F.col("value").cast("binary").alias("chunk"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc").load(path).select("content")
+    return packed.mapInArrow(stream, DDL).union(plain.mapInArrow(whole, DDL))
 
 
 def assemble(records: DataFrame) -> DataFrame:
