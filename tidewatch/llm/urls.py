@@ -99,12 +99,13 @@ def judged(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") -> Data
     spark = pages.sparkSession
     host, path = parts(F.col("url"))
     urls = common.own_columns(pages, ["page_id", "url"]).select("page_id", host.alias("host"), path.alias("path"))
-    apart = urls.filter(F.col("host") != "").select("host", "path").distinct()  # one key, however often a url is there
+    ranges = common.partitions(spark)
+    # one key, however often a url is there; few bytes that become many keys, so not to be coalesced
+    apart = urls.filter(F.col("host") != "").select("host", "path").distinct().repartition(ranges, F.xxhash64("host", "path"))
     none = F.lit(None).cast("string")
     keys = apart.withColumn("domain", F.explode(above(F.col("host")))).select(key(F.col("domain"), F.col("path")).alias("key"), F.lit(1).alias("kind"), "host", "path", none.alias("rule"), none.alias("verdict"))
     rules = rules.filter(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     starts = rules.select(key(F.col("host"), F.col("path")).alias("key"), F.lit(0).alias("kind"), none.alias("host"), none.alias("path"), F.concat("host", "path").alias("rule"), "verdict")
-    ranges = common.partitions(spark)
     firsts = lay_out(keys, ranges)
     both = keys.unionByName(starts).mapInArrow(dealt(firsts), DDL)
     fitted = both.repartition(ranges, "range").sortWithinPartitions("range", "key", "kind").mapInArrow(sweep, "host string, path string, size int, rule string, verdict string")
