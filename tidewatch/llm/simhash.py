@@ -28,8 +28,8 @@ WORDS = re.compile(common.WORD)
 #: Generator polynomials of the perfect codes, by length; and their radius.
 GENERATOR = {23: 0b101011100011, 15: 0b10011, 7: 0b1011}
 RADIUS = {23: 3, 15: 1, 7: 1}
-#: Own fingerprints of an anchor that one task compares at once; an anchor with more is split.
-HELD = 4096
+#: Own fingerprints of an anchor that one task holds; those of an anchor with more are split, and so are those sent to it.
+HELD = 1 << 16
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -171,8 +171,8 @@ LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def place(blocks, threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                fps = batch["fp"].slice(i, 4096).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for i in range(0, batch.num_rows, 1024):
+                fps = batch["fp"].slice(i, 1024).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 who, anchor = widened(fps, blocks, threshold)
                 own = anchor == homes(fps, blocks)[who]
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(own), pa.array(fps.view(np.int64)[who])], schema=PLACED)
@@ -203,23 +203,23 @@ class Forest:
 
 
 def compare(threshold: int):
-    """Over rows sorted by anchor, share and own (own ones first): links of a spanning forest of all pairs within threshold.
+    """Over rows sorted by anchor, cell and sent (own ones first): links of a spanning forest of all pairs within threshold.
 
-    Holds the own fingerprints of one anchor's share, HELD of them or so; those sent to it stream past.
+    Holds the own fingerprints of one cell, HELD of them or so; those sent to it stream past.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, fps, forest = None, [], np.zeros(0, np.uint64), Forest(0)
         for batch in batches:
             out: tuple[list[int], list[int]] = ([], [])
-            anchor, share, sent = (batch[c].to_numpy(zero_copy_only=False) for c in ("anchor", "share", "sent"))
+            anchor, cell, sent = (batch[c].to_numpy(zero_copy_only=False) for c in ("anchor", "cell", "sent"))
             fp = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
-            edge = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(share) != 0) | (np.diff(sent.astype(np.int8)) != 0)) + 1
+            edge = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(cell) != 0) | (np.diff(sent.astype(np.int8)) != 0)) + 1
             for i, j in zip([0, *edge.tolist()], [*edge.tolist(), len(fp)], strict=True):
                 if i == j:
                     continue
-                if (anchor[i], share[i]) != key:
-                    key, held = (anchor[i], share[i]), []
+                if (anchor[i], cell[i]) != key:
+                    key, held = (anchor[i], cell[i]), []
                 if not sent[i]:
                     held.append(fp[i:j])
                     continue
@@ -228,7 +228,7 @@ def compare(threshold: int):
                 if held is not None and (len(held) > 1 or fps is not held[0]):
                     fps = np.concatenate(held)
                     held, forest = [fps], Forest(len(fps))
-                step = max(1, (1 << 21) // len(fps))
+                step = max(1, (1 << 19) // len(fps))
                 for k in range(i, j, step):
                     part = fp[k : min(j, k + step)]
                     y, x = np.nonzero(differ(part[:, None], fps[None, :]) <= threshold)
@@ -253,24 +253,31 @@ def link(part: np.ndarray, fps: np.ndarray, y: np.ndarray, x: np.ndarray, forest
             out[1].append(int(fps[j]))
 
 
+def blocks_for(many: int) -> tuple[tuple[int, int], ...]:
+    """The covering code for so many distinct fingerprints; what is linked is the same with each."""
+    return TWO_GOLAY if many < MANY else WITH_HAMMING
+
+
 def links(fps: DataFrame, threshold: int, blocks: tuple[tuple[int, int], ...]) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect whatever differs in at most threshold bits.
 
-    Every pair within the threshold is compared and ends up connected; a hot anchor's own fingerprints are split into shares
-    and what is sent to it goes to each share, so no task holds an unbounded group.
+    Every pair within the threshold is compared and ends up connected. A hot anchor is a square of cells: its own fingerprints
+    are dealt out by one side, those sent to it by the other, so no task holds an unbounded group.
     """
     n = common.partitions(fps.sparkSession)
     fps = fps.repartition(n, F.xxhash64("fp"))  # few bytes in, many out: not to be coalesced
     placed = fps.mapInArrow(place(blocks, threshold), "anchor long, own boolean, fp long")
     sizes = fps.mapInArrow(home_of(blocks), "anchor long").groupBy("anchor").count().filter(F.col("count") > HELD)
-    shares = sizes.select("anchor", F.ceil(F.col("count") / HELD).cast("int").alias("shares"))
-    shares, _ = common.written(shares, "shares")  # so that its size is known and the many rows need no exchange for it
-    placed = placed.join(shares, "anchor", "left").withColumn("shares", F.coalesce("shares", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp"), "shares").cast("int")
-    all_ = F.sequence(F.lit(0), F.col("shares") - 1)
-    rows = F.when(F.col("own"), F.array(F.struct(mine.alias("share"), F.lit(False).alias("sent")))).otherwise(F.array()).cast("array<struct<share:int,sent:boolean>>")
-    spread = placed.withColumn("to", F.explode(F.concat(rows, F.transform(all_, lambda s: F.struct(s.alias("share"), F.lit(True).alias("sent")))))).select("anchor", "fp", "to.share", "to.sent")
-    return spread.repartition(n, "anchor", "share").sortWithinPartitions("anchor", "share", "sent").mapInArrow(compare(threshold), "a long, b long")
+    sides = sizes.select("anchor", F.ceil(F.col("count") / HELD).cast("int").alias("side"))
+    sides, _ = common.written(sides, "sides")  # so that its size is known and the many rows need no exchange for it
+    placed = placed.join(sides, "anchor", "left").withColumn("side", F.coalesce("side", F.lit(1)))
+    each = F.sequence(F.lit(0), F.col("side") - 1)
+    own = F.pmod(F.xxhash64("fp"), "side").cast("int")
+    sent = F.pmod(F.xxhash64("fp", F.lit(1)), "side").cast("int")
+    held = F.transform(each, lambda j: F.struct((own * F.col("side") + j).alias("cell"), F.lit(False).alias("sent")))
+    past = F.transform(each, lambda i: F.struct((i * F.col("side") + sent).alias("cell"), F.lit(True).alias("sent")))
+    spread = placed.withColumn("to", F.explode(F.when(F.col("own"), F.concat(held, past)).otherwise(past))).select("anchor", "fp", "to.cell", "to.sent")
+    return spread.repartition(n, "anchor", "cell").sortWithinPartitions("anchor", "cell", "sent").mapInArrow(compare(threshold), "a long, b long")
 
 
 def home_of(blocks):
@@ -300,7 +307,7 @@ def groups(docs: DataFrame, width: int = 3, threshold: int = 2) -> DataFrame:
     """
     fps, _ = common.written(fingerprints(docs, width), "fingerprints")
     classes, _ = common.written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    pairs = links(classes.select("fp"), threshold, TWO_GOLAY if classes.count() < MANY else WITH_HAMMING)
+    pairs = links(classes.select("fp"), threshold, blocks_for(classes.count()))
     reach = components(pairs)
     rooted = classes.join(reach.select(F.col("id").alias("fp"), F.col("component").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
