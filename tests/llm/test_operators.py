@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, components, html, language, mixing, multiset, neardup, quality, repeats, simhash, suffixes, urls, warc
+from tidewatch.llm import bpe, components, html, language, mixing, multiset, neardup, quality, queries, repeats, simhash, suffixes, urls, warc
 from tidewatch.llm.queries import TOKENIZERS, URL_RULES
 
 BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -164,9 +164,38 @@ def test_compare(docs, none):
     assert 0.3 < likeness[10] < 0.7
 
 
+def test_likeness_of_texts_that_repeat_themselves():
+    """The cosine of the lanes against sums in whole numbers, however often a triple is there."""
+    texts_ = [b"a b c\n" * 40_000, b"a b c\n" * 20_000 + b"x y z w\n" * 15_000, prose(1, 200).encode(), prose(1, 199).encode(), b"", b"a b c\n" * 400]
+    found = multiset.vectors(texts_)
+    for i, j in combinations(range(len(texts_)), 2):
+        lanes = []
+        for text in (texts_[i], texts_[j]):
+            sums = [0] * multiset.LIKE
+            for paragraph in multiset.paragraphs(text):
+                lane, sign, _ = multiset.triples([paragraph])
+                for x, y in zip(lane.tolist(), sign.tolist(), strict=True):
+                    sums[x] += int(y)
+            lanes.append(sums)
+        dot, norm = sum(x * y for x, y in zip(*lanes, strict=True)), np.sqrt(float(sum(x * x for x in lanes[0])) * sum(x * x for x in lanes[1]))
+        assert np.isclose(multiset.likeness(found[i : i + 1], found[j : j + 1])[0], max(0, dot / norm) if norm else 0.0)
+    assert multiset.likeness(found[:1], found[1:2])[0] > 0.5 and multiset.likeness(found[:1], found[5:6])[0] > 0.99
+
+
+def test_slots_deal_ranges_out_one_by_one(spark):
+    rows = spark.createDataFrame([(x,) for x in multiset.slots(spark, 37)], "slot int").repartition(37, "slot")
+    assert rows.select(F.spark_partition_id()).distinct().count() == 37
+
+
 # mixing
 
 
+def test_shares_that_add_up_to_too_much_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, source string")
+    with pytest.raises(Exception, match="slots"):
+        mixing.mixed(docs, spark.createDataFrame([("a", 20_000)], "source string, share long")).collect()
+
+
 def test_mixture_deviates_by_less_than_a_block(spark):
     shares = {"a": 5, "b": 3, "c": 1, None: 2}
     rows = [(i, s) for i, s in enumerate(["a"] * 200 + ["b"] * 90 + ["c"] * 45 + [None] * 33)]
@@ -225,6 +254,38 @@ def test_quality(docs, none, spark):
     assert quality.rules(none, RANKS).count() == 0
 
 
+def test_fertility_by_hand(docs):
+    """Measures and verdict from the vocabulary's tokens, counted one by one."""
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=bpe.SPLIT, mergeable_ranks=ranks, special_tokens={})
+    byte_of = {i: token for token, i in ranks.items()}
+    seen = set()
+    for r in quality.rules(docs, RANKS).collect():
+        for t in [x or "" for d, x in pairs(docs) if d == r["doc_id"]]:
+            ids = encoding.encode_ordinary(t)
+            n, counts = len(ids), Counter(ids)
+            whole = lambda x: x.decode("utf-8", "ignore").encode() == x
+            want = (len(t) / n, sum(not whole(byte_of[i]) for i in ids) / n, -np.log2(sum((c / n) ** 2 for c in counts.values()))) if n else (0, 0, 0)
+            least, most, parts, bits = quality.BANDS[r["script"]]
+            if np.allclose(want, (r["chars_per_token"], r["fallback_share"], r["token_entropy"])):
+                seen.add(r["doc_id"])
+                good = n > 0 and least <= want[0] <= most and want[1] <= parts and want[2] >= min(bits, quality.SHORT * np.log2(n))
+                assert r["kept"] == (good and not r["base_failed"])
+    assert seen == {d for d, _ in pairs(docs)}
+
+
+def test_long_texts_are_cut_between_words():
+    text = "it's 12 words,  and\n\nsome  more é日本 " * 60 + "x" * 500 + " end"
+    whole = quality.vocabulary(RANKS)[0].encode_ordinary(text)
+    for most in (1, 7, 64, 300):
+        parts = list(quality.pieces(text, most))
+        assert "".join(parts) == text and [i for x in parts for i in quality.vocabulary(RANKS)[0].encode_ordinary(x)] == whole
+
+
 def test_prose_is_kept_and_symbols_are_not():
     junk = " ".join(w + random.Random(i).choice(["***", "###", "$$$", "%%%"]) for i, w in enumerate(prose(3, 80).split()))
     assert quality.judge("the quick brown fox jumps over the lazy dog while seven bright stars shine above a quiet town near old hills", RANKS)["kept"]
@@ -257,6 +318,13 @@ def test_urls(spark):
     assert urls.judged(pages.limit(0), empty).count() == 0 and {x["verdict"] for x in urls.judged(pages, empty).collect()} == {"allow"}
 
 
+def test_equal_rules_and_very_long_urls(spark):
+    rules = spark.createDataFrame([("org", "/a", "block"), ("org", "/a", "allow"), (None, "/", "block"), ("org", None, "block")], "host string, path string, verdict string")
+    long = "http://" + "x." * 2000 + "org/a" + "b" * 100_000
+    got = urls.judged(spark.createDataFrame([(1, long), (2, "http://org/b")], "page_id long, url string"), rules).collect()
+    assert {r["page_id"]: (r["rule"], r["verdict"], len(r["path"])) for r in got} == {1: ("org/a", "allow", 100_002), 2: (None, "allow", 2)}
+
+
 # byte-pair encoding
 
 
@@ -374,7 +442,34 @@ def test_forward_backward_against_all_paths():
             want[i, x] += w
     mask = np.ones((1, 4), bool)
     assert np.allclose(model.marginals(scores, mask)[0][0], want / want.sum(1, keepdims=True), atol=1e-4)
-    assert np.allclose(model.marginals_only(scores.copy(), mask)[0], want / want.sum(1, keepdims=True), atol=1e-4)
+    alone = np.full((1, 3), -1, np.float32), np.ones((1, 3), np.float32)
+    assert np.allclose(model.marginals_only(scores.copy(), mask, *alone)[0], want / want.sum(1, keepdims=True), atol=1e-4)
+
+
+def test_messages_carry_a_chain_over_blocks(monkeypatch):
+    model = language.train([(t, lang) for _, t, lang in samples()])
+    r = random.Random(2)
+    vocab = [w for _, t, _ in samples()[:9] for w in t.split()] + ["xu", "qe", "i"]
+    texts_ = [" ".join(r.choice(vocab) for _ in range(n)).encode() for n in (1, 6, 7, 8, 14, 15, 40, 100)] + [b"", b"1 2"]
+    whole = []
+    for size in (1000, 7):
+        monkeypatch.setattr(language, "CHAIN", size)
+        whole.append(model.predict(texts_))
+    assert whole[0][0] == whole[1][0] and np.allclose(whole[0][1], whole[1][1], atol=1e-4)
+    long = model.predict([" ".join(r.choice(vocab) for _ in range(200_000)).encode()])
+    assert long[0][0] in model.labels
+
+
+def test_held_out_documents_of_the_test_data(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    found = queries.op7_crf_language(spark, data).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL AND lang_pred != 'und'").collect()
+    assert len(found) > 20 and np.mean([r["lang"] == r["lang_pred"] for r in found]) >= 0.97
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGS", 2)
+    with pytest.raises(ValueError):
+        language.sample(spark.createDataFrame(samples(), "doc_id long, text string, lang string"))
 
 
 def test_the_sample_holds_no_held_out_rows(spark):
@@ -409,8 +504,28 @@ def test_archives(spark, tmp_path):
     assert nested["request"]["head"].startswith("GET http://é/ HTTP/1.1") and nested["metadata"]["head"] == "pageId: 6\r\n"
     empty = str(tmp_path / "none")
     warc.write(pages.limit(0), empty)
+    assert warc.read(spark, empty).count() == 0 and warc.captures(warc.assemble(warc.read(spark, empty))).count() == 0
     with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nabc", False))
+        list(warc.parse([b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 9\r\n\r\nabc"], False))
+
+
+def test_archives_in_any_chunks(spark, tmp_path):
+    """Blocks that hold separators, or end in half of one; in chunks of any size, packed by the record or not at all."""
+    import gzip
+
+    blocks = [b"", b"abc\r\n", b"\r\n\r\n", b"x\r\n\r\nWARC/1.1\r\n", b"\xff\xfe\x00" * 50, b"y" * 300_000]
+    records = [b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n%s\r\n\r\n" % (i, len(b) + 19, b) for i, b in enumerate(blocks)]
+    data = b"".join(records)
+    for size in (1, 3, 1000, len(data)):
+        got = list(warc.parse((data[i : i + size] for i in range(0, len(data), size)), True))
+        assert [x[-1] for x in got] == blocks
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(data))
+    got = warc.read(spark, str(tmp_path), payloads=True).collect()
+    assert sorted(bytes(r["payload"]) for r in got) == sorted(blocks * 3)
+    with pytest.raises(ValueError):
+        list(warc.parse([data[:-100]], False))
 
 
 # near-duplicates
@@ -528,6 +643,34 @@ def test_one_of_each_group_stays(docs, none, spark):
     assert neardup.representatives(none).count() == 0
 
 
+def test_word_hashes(monkeypatch):
+    texts_ = [(t or "").encode() for t in texts()] + [b"A b  a B\tab", b"x" * 300]
+    for size in (1 << 19, 1, 50):
+        monkeypatch.setattr(neardup, "TOGETHER", size)
+        found, known = neardup.word_hashes(texts_), {}
+        for text, hashes in zip(texts_, found, strict=True):
+            words = simhash.WORDS.findall(text.translate(simhash.UPPER))
+            assert len(words) == len(hashes)
+            for w, h in zip(words, hashes.tolist(), strict=True):
+                assert known.setdefault(w, h) == h
+        assert len(set(known.values())) == len(known)
+    assert neardup.word_hashes([]) == [] and [len(x) for x in neardup.word_hashes([b"", b" "])] == [0, 0]
+
+
+def test_sketches_never_rule_a_similar_pair_out():
+    r = np.random.default_rng(5)
+    for n in (1, 5, 40, 300, 3000):
+        base = r.integers(0, 1 << 63, n).astype(np.uint64)
+        for changed in range(0, n // 3 + 1, max(1, n // 30)):
+            other = np.concatenate([base[changed:], r.integers(0, 1 << 63, changed + n // 9).astype(np.uint64)])
+            a, b = set(base.tolist()), set(other.tolist())
+            may = neardup.may_be_similar(len(a), neardup.sketch(np.unique(base)), len(b), neardup.sketch(np.unique(other)))
+            if len(a & b) >= neardup.SIMILAR * len(a | b):
+                assert may
+            elif n >= 40 and len(a & b) < 0.6 * len(a | b):
+                assert not may
+
+
 def reduced(spark, texts):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return sorted(r["doc_id"] for r in neardup.representatives(rows).collect())
@@ -583,6 +726,52 @@ def test_main_text():
     assert html.main_text(plain).startswith(prose(0, 30)) and "x" not in html.main_text(plain).split("\n\n")[0][:1]
 
 
+def test_ratios_and_clusters_by_hand():
+    r = random.Random(3)
+    sizes, tags = np.array([r.choice([0, 3, 40, 400]) for _ in range(60)], float), np.array([r.randint(0, 5) for _ in range(60)])
+    ratio = [s / max(1, t) for s, t in zip(sizes, tags, strict=True)]
+    kernel = [np.exp(-0.5 * (d / html.SIGMA) ** 2) for d in range(-3, 4)]
+    smooth = [sum(k * ratio[min(59, max(0, i + d))] for d, k in zip(range(-3, 4), kernel, strict=True)) / sum(kernel) for i in range(60)]
+    assert np.allclose(html.smooth(np.array(ratio)), smooth)
+    want = [s > 0 and x >= html.LEAST * sum(smooth) / 60 for s, x in zip(sizes, smooth, strict=True)]
+    assert html.clusters(sizes, tags).tolist() == want
+
+
+def test_recall_and_noise_over_layouts():
+    """Pages of many layouts whose main text is known: words found of it, and words found that aren't of it."""
+    r, right, missed, wrong = random.Random(7), 0, 0, 0
+    for i in range(120):
+        word = lambda: prose(r.random(), 1)
+        text = ["Head " + prose(i, 4), *[prose(1000 * i + k, r.randint(3, 90)) for k in range(r.randint(2, 9))]]
+        blocks = f"<h1>{text[0]}</h1>" + "".join(f"<p>{x}</p>" if r.random() < 0.8 else f"<blockquote>{x}</blockquote>" for x in text[1:])
+        menu = "".join(f"<li><a href='/'>zz{word()}</a></li>" for _ in range(r.randint(3, 8)))
+        menu = r.choice([f"<nav><ul>{menu}</ul></nav>", f"<ul class='menu'>{menu}</ul>", f"<ul>{menu}</ul>"])
+        side = r.choice([f"<aside><p>zz{word()}</p></aside>", f"<div class='sidebar'><p>zz{word()}</p></div>", ""])
+        notes = r.choice(["<section class='comments'><p>zz comment zz that is long</p></section>", "<div id='cookie-notice'>zz cookies</div>", ""])
+        core = r.choice(["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<main><p></p><article>{}</article></main>"]).format(blocks)
+        page = f"<html><head><title>zz</title><script>zz</script></head><body>{menu}{core}{side}{notes}<footer>zz footer</footer></body></html>"
+        want, got = Counter(" ".join(text).split()), Counter(html.main_text(page).split())
+        right += sum((want & got).values())
+        missed += sum((want - got).values())
+        wrong += sum((got - want).values())
+    assert right / (right + missed) > 0.995 and wrong / (right + wrong) < 0.005
+
+
+def test_unmarked_menus_of_an_article_go_and_single_links_stay():
+    menu, one = "".join(f"<li><a href='/'>Link {i}</a></li>" for i in range(4)), "<p><a href='/'>One link</a></p>"
+    found = html.main_text(f"<article><ul>{menu}</ul><p>{prose(1, 60)}</p>{one}<p>{prose(2, 60)}</p></article>")
+    assert found == "\n\n".join([prose(1, 60), "One link", prose(2, 60)])
+
+
+@pytest.mark.parametrize("deep", ["<b>", "<div>", "<b><div></div>", "<p><b>", "<i><article>"])
+def test_deep_pages_take_time_in_proportion(deep):
+    import time
+
+    began = time.perf_counter()
+    assert html.main_text(deep * 60_000 + "deep" + "</i>" * 60_000).endswith("deep")
+    assert time.perf_counter() - began < 20
+
+
 def test_short_blocks_at_the_ends_of_the_main_text():
     long, menu = [prose(i, 60) for i in range(4)], "<div id=menu><a>x</a><a>y</a></div>"
     whole = ["Lead.", *long, "Two short.", "End."]

@@ -34,8 +34,8 @@ from .suffixes import suffix_array
 
 #: Bytes of a symbol; symbols of one suffix array; distinct contexts of a group that aren't split.
 BLOCK, SYMBOLS, HOT = 16, 60_000, 256
-#: Windows of a text that are looked at together.
-PART = 1 << 19
+#: Windows of a text that are looked at together; anchors that are handed on together.
+PART, ROWS = 1 << 19, 1 << 15
 #: Places of the position in a packed hash.
 PLACE = 24
 
@@ -115,7 +115,7 @@ def anchor_rows(length: int):
                     for found in anchors(text, length):
                         held.append((np.full(len(found[0]), x), np.full(len(found[0]), y), *found))
                         n += len(found[0])
-                    if n > PART:
+                    if n > ROWS:
                         yield batch_of(held)
                         held, n = [], 0
         if held:
