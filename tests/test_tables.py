@@ -1,13 +1,17 @@
 """Keyed tables, refreshes, message parsing, streams, the loader and the commands."""
 
 import json
+import os
+import subprocess
+import zipfile
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import __main__ as commands
-from tidewatch.operators import incremental
+from tidewatch.operators import incremental, store
 from tidewatch.operators.store import Conflict, Table, create_table_sql, first_of
 from tidewatch.session import Config
 from tidewatch.sources import delimited, events, messages, views
@@ -54,10 +58,68 @@ def test_a_second_writer_of_a_version_fails_and_changes_nothing(spark, table):
     t = table()
     t.overwrite(spark.createDataFrame([(1, "a", 1)], "k int, p string, v int"))
     with pytest.raises(Conflict):
-        t._publish({"version": 0}, {})
+        t._publish({"version": 0}, [])
     assert t.read().count() == 1
 
 
+def written(t):
+    """Bytes under the table's folder of data."""
+    return sum(f.stat().st_size for f in Path(t.path, "data").rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("update", [None, ["p", "v"], ["v"]])
+def test_what_a_batch_writes_does_not_grow_with_the_table(spark, tmp_path, update):
+    cost = []
+    for n in (1_000, 100_000):
+        t = Table(spark, str(tmp_path / f"{n}"), "k int, p string, v int")
+        t.overwrite(spark.range(n).selectExpr("cast(id as int) k", "sha2(cast(id as string), 256) p", "cast(id as int) v").coalesce(1))
+        before = written(t)
+        t.upsert(spark.range(n - 50, n + 50).selectExpr("cast(id as int) k", "'new' p", "7 v").coalesce(1), ["k"], update)
+        cost.append(written(t) - before)
+        found = t.read()
+        assert found.count() == n + 50 and found.filter("v = 7").count() == 1 + (100 if update else 50)
+    assert 0 < cost[1] < 2 * cost[0] + 10_000
+
+
+def test_replaced_keys_write_their_rows_alone_and_many_marks_are_compacted(spark, table, monkeypatch):
+    monkeypatch.setattr(store, "MOST_MARKS", 3)
+    t, frame = table(), lambda *r: spark.createDataFrame(list(r), "k int, p string, v int")
+    t.overwrite(frame(*[(i, "abc"[i % 3], i) for i in range(30)]))
+    want = {(i, "abc"[i % 3], i) for i in range(30)}
+    for step in range(6):
+        p = "abc"[step % 3]
+        t.replace_keys(frame((100 + step, p, step)), frame((0, p, 0)).select("p"), "p")
+        t.upsert(frame((200, "z", step), (201 + step, "z", step)), ["k"], ["p", "v"])
+        want = {r for r in want if r[1] != p and r[0] != 200} | {(100 + step, p, step), (200, "z", step), (201 + step, "z", step)}
+        assert rows(t.read()) == sorted(want, key=repr)
+        assert sum(e["gone"] is not None for e in t.manifest()["entries"]) <= 4
+    t.replace_keys(frame(), frame((0, "z", 0)).select("p"), "p")
+    assert rows(t.read()) == sorted((r for r in want if r[1] != "z"), key=repr)
+
+
+def test_parts_with_many_folders_are_compacted_and_old_versions_go(spark, table, monkeypatch):
+    monkeypatch.setattr(store, "MOST_FOLDERS", 4)
+    monkeypatch.setattr(store, "KEPT", 3)
+    t = table("p")
+    for i in range(12):
+        t.upsert(spark.createDataFrame([(i, "a", i), (100 + i, "b" if i else "c", i)], "k int, p string, v int"), ["p", "k"])
+    assert t.read().count() == 24 and max(len(v) for e in t.manifest()["entries"] for v in e["parts"].values()) <= 5
+    assert len(t.versions()) <= 7 and t.read(parts=["c"]).count() == 1
+
+
+def test_a_batch_is_computed_once(spark, table):
+    t, seen = table("p"), spark.sparkContext.accumulator(0)
+    t.overwrite(spark.createDataFrame([(1, "a", 1)], "k int, p string, v int"))
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    t.upsert(spark.createDataFrame([(1, "a", 2), (2, "b", 2), (3, "a", 3)], "k int, p string, v int").mapInPandas(count, "k int, p string, v int"), ["p", "k"])
+    assert seen.value == 3 and t.read().count() == 3
+
+
 def test_of_several_rows_with_one_key_the_first_counts(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (2, "c", 1)], "k int, p string, v int")
     assert rows(first_of(df, ["k"])) == [(1, "a", 3), (2, "c", 1)]
@@ -68,6 +130,32 @@ def test_table_ddl():
     assert create_table_sql("s.t", "a int", "iceberg", "days(ts)", {"format-version": "2"}) == "CREATE TABLE IF NOT EXISTS s.t (a int) USING iceberg PARTITIONED BY (days(ts)) TBLPROPERTIES ('format-version' = '2')"
 
 
+def test_catalog_tables(spark):
+    store.ensure_table(spark, "made_here.t", "a int, b string, c int", partitioned_by="b")
+    store.ensure_table(spark, "made_here.t", "a int, b string, c int")
+    spark.sql("INSERT INTO made_here.t VALUES (1, 2, 'x')")
+    assert spark.table("made_here.t").count() == 1 and store.drop_columns(spark, "made_here.t", ["old"]) == []
+    spark.sql("DROP TABLE made_here.t")
+    spark.sql("DROP NAMESPACE made_here")
+
+
+def test_dropped_columns_are_those_that_are_there(spark):
+    class Session:
+        said = []
+        table = staticmethod(lambda name: spark.createDataFrame([], "a int, old int"))
+        sql = said.append
+
+    assert store.drop_columns(Session, "s.t", ["old", "older"]) == ["old"] and Session.said == ["ALTER TABLE s.t DROP COLUMNS (old)"]
+
+
+def test_database(spark):
+    """Into a database that Spark brings along, twice; the second load replaces the first."""
+    url, how = "jdbc:derby:memory:loader;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    for n in (3, 2):
+        delimited.to_database(spark.createDataFrame([(f"a{i}", None if i else "x") for i in range(n)], "name string, more string"), url, "things", how)
+        assert sorted(r[0] for r in spark.read.jdbc(url, "things", properties=how).collect()) == [f"a{i}" for i in range(n)]
+
+
 def test_changed_keys_per_key_and_by_one_watermark(spark):
     day = lambda d: datetime(2024, 1, d)
     source = spark.createDataFrame([("a", day(3)), ("b", day(2)), ("c", day(9))], "k string, w timestamp")
@@ -173,6 +261,40 @@ def test_streams_and_replay(spark, tmp_path):
     assert spark.sql("select count(*) from silver_line_status_events").first()[0] == 2
 
 
+def test_stream_commands_with_a_limit_and_a_bronze_table(spark, tmp_path):
+    for i, p in enumerate([message([GOOD]), "", message([GOOD | {"id": "b"}])]):
+        spark.createDataFrame([("t", 0, i, datetime(2024, 1, 1), bytearray(b"k"), bytearray(p.encode()))], jobs.streams.RECORD).coalesce(1).write.mode("append").parquet(str(tmp_path / "topic"))
+    base, config = ["--warehouse", str(tmp_path / "lake"), "stream"], Config(warehouse=str(tmp_path / "lake"))
+    name = f"bronze_{tmp_path.name}".replace("-", "_")
+    assert commands.main([*base, "bronze", "--input", str(tmp_path / "topic"), "--bronze-table", name, "--max-files", "1", "--once"]) == 0
+    assert len(list((tmp_path / "lake/_checkpoints/bronze/commits").glob("[0-9]"))) == 3 and spark.table(name).count() == 3
+    assert commands.main([*base, "silver", "--bronze-table", name, "--once"]) == 0
+    assert Table(spark, config.silver, events.SILVER).read().count() == 2
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_topic_options(monkeypatch):
+    class Reader:
+        def __init__(self):
+            self.options = {}
+
+        def option(self, k, v):
+            self.options[k] = v
+            return self
+
+        def format(self, name):
+            self.options["format"] = name
+            return self
+
+        def load(self):
+            return self.options
+
+    class Session:
+        readStream = property(lambda self: Reader())
+
+    assert jobs.streams.topic(Session(), "b:1", "t", 5000) == {"format": "kafka", "kafka.bootstrap.servers": "b:1", "subscribe": "t", "startingOffsets": "earliest", "failOnDataLoss": "false", "maxOffsetsPerTrigger": 5000}
+
+
 def test_column_names():
     assert delimited.column_names(["A b", "a-b", "A B", "é!", "", "a_b_2"]) == ["a_b", "a_b_2", "a_b_3", "e", "column", "a_b_2_2"]
 
@@ -251,6 +373,32 @@ def test_commands(spark, tmp_path, capsys):
     assert commands.main([*base, "full-build"]) == 1 and "accepted_values_dim_status_status_severity: 1" in capsys.readouterr().out
 
 
+def test_the_gate_stops_at_the_first_step_that_fails(spark, tmp_path, capsys, monkeypatch):
+    told = []
+    monkeypatch.setattr(commands, "notify", lambda url, context, step, code: told.append((step, code)))
+    base = ["--warehouse", str(tmp_path / "none"), "--webhook-url", "http://h"]
+    assert commands.main([*base, "lint"]) == 0
+    assert commands.main([*base, "ci"]) == 1 and told == [("freshness", 1)] and "freshness failed" in capsys.readouterr().err
+
+
+def test_submitting(tmp_path):
+    """The script packs the engine and hands its arguments on."""
+    fake = tmp_path / "bin/spark-submit"
+    fake.parent.mkdir()
+    fake.write_text('#!/bin/sh\nprintf "%s\\n" "$@"\n')
+    fake.chmod(0o755)
+    root = Path(__file__).resolve().parent.parent
+    said = subprocess.run([root / "scripts/submit.sh", "stream", "silver", "--once"], env=os.environ | {"SPARK_HOME": str(tmp_path), "SPARK_MASTER": "yarn"}, capture_output=True, text=True, check=True).stdout.splitlines()
+    assert said[-4:] == [str(root / "scripts/run.py"), "stream", "silver", "--once"] and said[:2] == ["--master", "yarn"]
+    assert "tidewatch/__main__.py" in zipfile.ZipFile(said[said.index("--py-files") + 1]).namelist()
+
+
+def test_schema_names():
+    assert Config(gold_schema="g").schema_for(None) == "g" and Config().schema_for(" own ") == "own"
+    model = incremental.models()["dim_line"]
+    assert incremental.Gold(None, Config(warehouse="w", gold_schema="g")).models["dim_line"] == model or model.schema is None
+
+
 def test_notify():
     got = []
     commands.notify("http://h", "ctx", "build", 3, lambda request, timeout: got.append(json.loads(request.data)))

@@ -46,6 +46,6 @@ ISO_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"
 
 
 def parse_iso_ts(value: Column) -> Column:
-    """A timestamp in any of ISO_FORMATS or Spark's own; null for anything else."""
+    """A timestamp in Spark's own form, which most ISO texts are, or in any of ISO_FORMATS; null for anything else."""
     text = value.cast("string")
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ISO_FORMATS], F.try_to_timestamp(text))
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in ISO_FORMATS])

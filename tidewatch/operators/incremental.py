@@ -17,8 +17,7 @@ from .store import Table
 
 def newer_than(source: DataFrame, watermark: str, target: DataFrame, marks: str) -> DataFrame:
     """Rows of source past the largest mark in target (all rows of an empty target's source)."""
-    top = target.agg(F.coalesce(F.max(marks), floor_ts())).first()[0]
-    return source.filter(F.col(watermark) > F.lit(top))
+    return source.filter(F.col(watermark) > target.agg(F.coalesce(F.max(marks), floor_ts())).scalar())
 
 
 def changed_keys(source: DataFrame, key: str, watermark: str, target: DataFrame, marks: str, per_key: bool = True) -> DataFrame:
@@ -54,6 +53,7 @@ class Gold:
         self.spark, self.config = spark, config or Config()
         self.models = needed(models(as_of), names)
         self._schemas: dict[str, T.StructType] = {}
+        self._run = uuid.uuid4().hex
 
     def schema(self, name: str) -> T.StructType:
         """A table's schema, from its model over empty inputs."""
@@ -66,7 +66,8 @@ class Gold:
 
     def table(self, name: str) -> Table:
         """Intervals are kept in a part per line, the others in one."""
-        return Table(self.spark, self.config.gold(name), self.schema(name), "line_id" if name == "fact_line_status_interval" else None)
+        at = self.config.path(self.config.schema_for(self.models[name].schema), name)
+        return Table(self.spark, at, self.schema(name), "line_id" if name == "fact_line_status_interval" else None)
 
     def read(self, name: str, silver: DataFrame) -> DataFrame:
         return silver if name == "silver" else self.table(name).read()
@@ -96,9 +97,15 @@ class Gold:
                     keys = changed_keys(inputs[model.needs.index(model.watched)], model.scope, model.watermark, self.table(model.name).read(), model.marks, per_key=False)
                 self._remake(model, inputs, keys)
             return None
+        try:
+            return self._refresh(silver)
+        finally:
+            self._forget()
+
+    def _refresh(self, silver: DataFrame) -> None:
         lines = self._kept(changed_keys(silver, "line_id", "ingest_ts", self.read("stg_events", silver), "ingest_ts"))
         if lines.isEmpty():
-            return None
+            return
         others = [m for m in self.models.values() if m.scope not in (None, "line_id")]
         before = {m.name: self._kept(self._of(self.read(m.watched, silver), lines, m.scope)) for m in others}
         for model in ordered(self.models):
@@ -107,17 +114,20 @@ class Gold:
             if model.name in before:
                 keys = before[model.name].union(self._of(inputs[model.needs.index(model.watched)], lines, model.scope)).distinct()
             self._remake(model, inputs, keys)
-        return None
 
     def _of(self, df: DataFrame, lines: DataFrame, key: str) -> DataFrame:
         return df.join(lines, "line_id", "left_semi").select(key).distinct()
 
     def _kept(self, keys: DataFrame) -> DataFrame:
         """Keys as they are now, whatever happens to the tables that they come from."""
-        path = f"{self.config.warehouse.rstrip('/')}/_refresh/{uuid.uuid4().hex}"
+        path = f"{self.config.warehouse.rstrip('/')}/_refresh/{self._run}/{uuid.uuid4().hex}"
         keys.write.parquet(path)
         return self.spark.read.schema(keys.schema).parquet(path)
 
+    def _forget(self) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.config.warehouse.rstrip('/')}/_refresh/{self._run}")
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
     def _remake(self, model: Model, inputs: list[DataFrame], keys: DataFrame | None) -> None:
         if keys is None:
             self.table(model.name).overwrite(model.make(*inputs))

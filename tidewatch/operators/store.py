@@ -1,8 +1,13 @@
-"""Keyed tables on plain parquet: a manifest names the folders that make up the current version.
+"""Keyed tables on plain parquet: a manifest names the folders that make up the current version, as a log of entries.
 
-A table is cut into parts by the value of one of its columns (or is a single part). A change writes new folders for the parts
-it touches, then publishes a manifest that names them and the untouched ones; readers of the old version are not disturbed,
-and a job that dies before publishing changes nothing. One writer at a time: publishing a version that exists already fails.
+A table is cut into parts by an expression over its columns (or is a single part). An entry has folders of rows by part, and
+may have marks: keys of which no row of an earlier entry counts any more. So inserts, updates and replaced keys all write what
+is new and nothing else, and what they write doesn't grow with the table; readers leave out marked rows by a join with the
+marks. When marks or folders get many, the rows that count are written anew.
+
+A change publishes its manifest last; readers of the old version are not disturbed, and a job that dies before changes nothing.
+One writer at a time: publishing a version that exists already fails, on file systems whose rename fails then (HDFS, local); an
+object store needs a single writer or a committer that gives the same.
 """
 
 from __future__ import annotations
@@ -10,12 +15,15 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ALL = "__all__"
+#: Entries with marks, and folders of a part, before the rows that count are written anew; versions that are kept.
+MOST_MARKS, MOST_FOLDERS, KEPT = 16, 64, 20
 
 
 class Conflict(RuntimeError):
@@ -29,7 +37,7 @@ class Table:
         self.spark, self.path = spark, path.rstrip("/")
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
         self.schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in self.schema])
-        self.parts_by = parts_by
+        self.parts_by = parts_by  # an SQL expression
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -43,9 +51,10 @@ class Table:
         return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> dict:
+        """version, and entries in order: parts (part value -> folders), gone (a folder of marks or None), on (their columns)."""
         found = self.versions()
         if not found:
-            return {"version": 0, "parts": {}}
+            return {"version": 0, "entries": []}
         version = found[-1] if version is None else version
         stream = self._fs.open(self._path(f"{self.path}/_manifests/v{version:010d}.json"))
         try:
@@ -54,26 +63,57 @@ class Table:
             stream.close()
         return json.loads(text)
 
-    def _publish(self, old: dict, parts: dict[str, str]) -> None:
+    def _publish(self, old: dict, entries: list[dict]) -> None:
         new = old["version"] + 1
         temporary, final = self._path(f"{self.path}/_manifests/.{uuid.uuid4().hex}"), self._path(f"{self.path}/_manifests/v{new:010d}.json")
-        if new in self.versions():
+        there = self.versions()
+        if new in there:
             raise Conflict(f"{self.path}: version {new} is there")
         stream = self._fs.create(temporary, False)
-        stream.write(bytearray(json.dumps({"version": new, "parts": parts}).encode()))
+        stream.write(bytearray(json.dumps({"version": new, "entries": entries}).encode()))
         stream.close()
         if not self._fs.rename(temporary, final):
             raise Conflict(f"{self.path}: version {new} is there")
+        if len(there) >= 2 * KEPT:
+            self.vacuum(KEPT)
+
+    def _add(self, old: dict, parts: dict[str, str], gone: str | None = None, on: list[str] | None = None, drop: Iterable[str] = ()) -> None:
+        """Publishes old with rows added, after earlier rows were dropped by part or marked. Rows without marks join the last entry."""
+        drop = set(drop)
+        entries = [e | {"parts": {k: v for k, v in e["parts"].items() if k not in drop}} for e in old["entries"]]
+        if gone or not entries:
+            entries.append({"parts": {}, "gone": gone, "on": on})
+        last = dict(entries[-1]["parts"])
+        for k, folder in parts.items():
+            last[k] = [*last.get(k, []), folder]
+        entries[-1] = entries[-1] | {"parts": last}
+        self._publish(old, entries)
+        if sum(e["gone"] is not None for e in entries) > MOST_MARKS:
+            self.compact()
+        elif many := [k for k, v in last.items() if len(v) > MOST_FOLDERS]:
+            self.compact(many)
 
     # reading
 
     def read(self, version: int | None = None, parts: Iterable[str] | None = None) -> DataFrame:
         """The current rows (or those of an earlier version, or of some parts)."""
-        held = self.manifest(version)["parts"]
-        paths = [p for k, p in held.items() if parts is None or k in set(parts)]
-        if not paths:
+        entries, wanted = self.manifest(version)["entries"], None if parts is None else set(parts)
+        folders = [[f for k, v in e["parts"].items() if wanted is None or k in wanted for f in v] for e in entries]
+        if not any(folders):
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{p}" for p in sorted(paths)])
+        if not any(e["gone"] for e in entries[1:]):
+            return self._rows([f for each in folders for f in each])
+        rows = reduce(DataFrame.unionAll, [self._rows(each).withColumn("_entry", F.lit(i)) for i, each in enumerate(folders) if each])
+        for on in {tuple(e["on"]) for e in entries if e["gone"]}:
+            schema = T.StructType([T.StructField(f"_on_{c}", self.schema[c].dataType) for c in on])
+            marks = [self.spark.read.schema(schema).parquet(f"{self.path}/{e['gone']}").withColumn("_since", F.lit(i)) for i, e in enumerate(entries) if e["gone"] and tuple(e["on"]) == on]
+            last = reduce(DataFrame.unionAll, marks).groupBy(*schema.names).agg(F.max("_since").alias("_since"))
+            same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+            rows = rows.join(last, same, "left").filter(F.col("_since").isNull() | (F.col("_entry") >= F.col("_since"))).drop("_since", *schema.names)
+        return rows.drop("_entry")
+
+    def _rows(self, folders: Iterable[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in sorted(folders)])
 
     def exists(self) -> bool:
         return bool(self.versions())
@@ -81,78 +121,100 @@ class Table:
     # writing
 
     def _part(self) -> Column:
-        if self.parts_by is None:
-            return F.lit(ALL)
-        return F.coalesce(F.col(self.parts_by).cast("string"), F.lit("__null__"))
+        return F.coalesce(F.expr(self.parts_by).cast("string"), F.lit("__null__"))
 
     def _write(self, df: DataFrame) -> dict[str, str]:
-        """New folders for df's parts: part value -> folder. Their number is that of the parts that df touches."""
+        """New folders for df's parts: part value -> folder; none for no rows. A large part is written by several tasks."""
         folder = f"data/{uuid.uuid4().hex}"
         rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
         if self.parts_by is None:
             rows.write.parquet(f"{self.path}/{folder}")
-            return {ALL: folder}
+            return {} if self._rows([folder]).isEmpty() else {ALL: folder}
         tagged = rows.withColumn("_part", F.hex(self._part().cast("binary")))
-        tagged.repartition("_part").write.partitionBy("_part").parquet(f"{self.path}/{folder}")
+        tagged.hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{self.path}/{folder}")
         listed = self._fs.listStatus(self._path(f"{self.path}/{folder}"))
         names = [s.getPath().getName() for s in listed if s.isDirectory() and s.getPath().getName().startswith("_part=")]
         return {bytes.fromhex(n[6:]).decode(): f"{folder}/{n}" for n in names}
 
+    def _mark(self, keys: DataFrame, on: list[str]) -> str:
+        folder = f"data/{uuid.uuid4().hex}"
+        keys.select(*[F.col(c).cast(self.schema[c].dataType).alias(f"_on_{c}") for c in on]).distinct().write.parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _delete(self, parts: dict[str, str]) -> None:
+        for folder in {"/".join(p.split("/")[:2]) for p in parts.values()}:
+            self._fs.delete(self._path(f"{self.path}/{folder}"), True)
+
     def overwrite(self, df: DataFrame) -> None:
         """df is the table."""
-        self._publish(self.manifest(), self._write(df))
+        parts = self._write(df)
+        self._publish(self.manifest(), [{"parts": {k: [v] for k, v in parts.items()}, "gone": None, "on": None}])
 
     def append(self, df: DataFrame) -> None:
-        self._rewrite(df, lambda old, new: old.unionByName(new))
+        if parts := self._write(df):
+            self._add(self.manifest(), parts)
 
     def replace_parts(self, df: DataFrame) -> None:
         """The parts that df has rows of are replaced; the others stay."""
-        old = self.manifest()
-        self._publish(old, old["parts"] | self._write(df))
+        parts = self._write(df)
+        self._add(self.manifest(), parts, drop=parts)
 
     def upsert(self, df: DataFrame, key: list[str], update: list[str] | None = None, order: list[Column] | None = None) -> None:
         """Rows of new keys are inserted. Of known keys, the columns in update are set; without it they stay as they are.
 
-        Keys match null-safely. Of several rows with one key the first by order (or by all columns) counts. Parts that
-        df doesn't touch are neither read nor written, so where the table has parts, a key must determine its part.
+        Keys match null-safely. Of several rows with one key the first by order (or by all columns) counts. df is computed
+        once. Of the table only the keys in the parts that df touches are read (and the rows for a partial update), so where
+        it has parts, a key must determine its part; nothing that is there is written again.
         """
-        rows = first_of(df.select(*[f.name for f in self.schema]), key, order)
-
-        def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-            if not update:
-                return old.unionByName(new.join(old, _same(new, old, key), "left_anti"))
-            if set(update) | set(key) >= set(self.schema.names):
-                return old.join(new, _same(old, new, key), "left_anti").unionByName(new)
-            fresh = new.select(*key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in update])
-            kept = old.alias("o").join(fresh.alias("n"), _same(old, fresh, key), "left").select(*[(F.when(F.col("n._hit"), F.col(f"n._new_{c}")).otherwise(F.col(f"o.{c}")) if c in update else F.col(f"o.{c}")).alias(c) for c in self.schema.names])
-            return kept.unionByName(new.join(old, _same(new, old, key), "left_anti"))
-
-        self._rewrite(rows, merge)
+        offered = self._write(first_of(df.select(*self.schema.names), key, order))
+        manifest = self.manifest()
+        known = {k for e in manifest["entries"] for k in e["parts"]} & set(offered)
+        if not offered:
+            return
+        new = self._rows(offered.values())
+        if not known:
+            self._add(manifest, offered)
+            return
+        old = self.read(manifest["version"], known)
+        if not update:
+            fresh = self._write(new.join(old.select(*key), _same(new, old, key), "left_anti"))
+            if fresh:
+                self._add(manifest, fresh)
+            self._delete(offered)
+            return
+        gone = self._mark(new, key)
+        if set(update) | set(key) >= set(self.schema.names):
+            self._add(manifest, offered, gone, key)
+            return
+        was = old.select(*key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_old_{c}") for c in self.schema.names if c not in key])
+        whole = new.alias("n").join(was.alias("o"), _same(new, was, key), "left").select(*[(F.when(F.col("o._hit"), F.col(f"o._old_{c}")).otherwise(F.col(f"n.{c}")) if c not in update and c not in key else F.col(f"n.{c}")).alias(c) for c in self.schema.names])
+        self._add(manifest, self._write(whole), gone, key)
+        self._delete(offered)
 
     def replace_keys(self, df: DataFrame, keys: DataFrame, by: str) -> None:
         """All rows of the keys go, and df's rows come: nothing stale of a key is left."""
-        old = self.read()
-        kept = old.join(keys.select(by).distinct(), _same(old, keys, [by]), "left_anti")
-        if self.parts_by == by:  # other parts stay as they are
-            manifest, gone = self.manifest(), {r[0] for r in keys.select(F.coalesce(F.col(by).cast("string"), F.lit("__null__"))).distinct().collect()}
-            self._publish(manifest, {k: v for k, v in manifest["parts"].items() if k not in gone} | self._write(df))
+        manifest = self.manifest()
+        if self.parts_by == by:  # whole parts go
+            gone = {r[0] for r in keys.select(F.coalesce(F.col(by).cast("string"), F.lit("__null__"))).distinct().collect()}
+            parts = self._write(df)
+            self._add(manifest, parts, drop=gone | set(parts))
         else:
-            self._publish(self.manifest(), self._write(kept.unionByName(df.select(*self.schema.names))))
+            self._add(manifest, self._write(df), self._mark(keys, [by]), [by])
 
-    def _rewrite(self, rows: DataFrame, merge) -> None:
+    def compact(self, parts: Iterable[str] | None = None) -> None:
+        """Writes the rows that count anew, without marks; or those of some parts of a table without marks."""
         manifest = self.manifest()
-        touched = [ALL] if self.parts_by is None else [r[0] for r in rows.select(self._part().alias("p")).distinct().collect()]
-        if not touched:
-            return
-        old = self.read(manifest["version"] or None, touched)
-        self._publish(manifest, manifest["parts"] | self._write(merge(old, rows)))
+        if parts is None:
+            self.overwrite(self.read(manifest["version"]))
+        else:
+            self._add(manifest, self._write(self.read(manifest["version"], parts)), drop=parts)
 
     def vacuum(self, keep: int = 2) -> None:
         """Removes versions before the last ones, and folders that none of those names."""
         found = self.versions()
         for v in found[:-keep]:
             self._fs.delete(self._path(f"{self.path}/_manifests/v{v:010d}.json"), False)
-        used = {p.split("/")[1] for v in found[-keep:] for p in self.manifest(v)["parts"].values()}
+        used = {p.split("/")[1] for v in found[-keep:] for e in self.manifest(v)["entries"] for p in (*[f for fs in e["parts"].values() for f in fs], e["gone"]) if p}
         at = self._path(f"{self.path}/data")
         for s in self._fs.listStatus(at) if self._fs.exists(at) else []:
             if s.getPath().getName() not in used:
@@ -180,6 +242,16 @@ def create_table_sql(name: str, schema: str, using: str = "parquet", partitioned
     return f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING {using}{parts}" + (f" TBLPROPERTIES ({props})" if props else "")
 
 
-def drop_column(df: DataFrame, column: str) -> DataFrame:
-    """Schema clean-up: df without a column that old deployments had."""
-    return df.drop(column)
+def ensure_table(spark: SparkSession, name: str, schema: str, using: str = "parquet", partitioned_by: str | None = None, properties: dict[str, str] | None = None) -> None:
+    """Creates a catalog table, and the namespace that it is in, where they aren't there."""
+    if "." in name:
+        spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {name.rpartition('.')[0]}")
+    spark.sql(create_table_sql(name, schema, using, partitioned_by, properties))
+
+
+def drop_columns(spark: SparkSession, name: str, columns: list[str]) -> list[str]:
+    """Schema clean-up: drops the columns that a catalog table has of those named (its store must be able to), and tells which."""
+    found = [c for c in columns if c in spark.table(name).columns]
+    if found:
+        spark.sql(f"ALTER TABLE {name} DROP COLUMNS ({', '.join(found)})")
+    return found

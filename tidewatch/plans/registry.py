@@ -28,6 +28,7 @@ class Model:
     watched: str | None = None
     watermark: str | None = None
     marks: str | None = None
+    schema: str | None = None  # of its own, where its table isn't in the target schema
 
 
 AS_OF = F.current_timestamp

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,10 +39,15 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast(kinds[t]).alias(c) if t in kinds else F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
 
 
+#: The texts of the registered SQL, for queries that must give the rows of another by a longer way.
+SQL_OF: dict[str, str] = {}
+
+
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under the function's name, with the SQL that gives the same rows."""
 
     def add(f: Query) -> Query:
+        SQL_OF[f.__name__] = oracle or ""
         QUERIES[f.__name__] = lambda spark, sf_dir: plain(f(spark, sf_dir))
         if oracle:
             ORACLES[f.__name__] = sql(oracle)
@@ -266,7 +273,7 @@ def bronze_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     periods = F.when(F.col("valid_from").isNotNull(), F.array(F.struct(text("valid_from").alias("fromDate"), text("valid_to").alias("toDate")))).otherwise(none)
     state = F.struct(F.col("line_id").alias("lineId"), F.when(F.col("n") % 17 != 3, F.col("status_severity")).alias("statusSeverity"), F.col("status_desc").alias("statusSeverityDescription"), "reason", periods.alias("validityPeriods"))
     line = F.struct(F.when(F.col("n") % 19 != 4, F.col("line_id")).alias("id"), F.col("line_name").alias("name"), F.col("mode").alias("modeName"), F.when(F.col("n") % 13 != 5, F.array(state)).alias("lineStatuses"))
-    whole = F.to_json(F.struct(text("event_ts").alias("ingested_at"), F.col("producer_request_id").alias("request_id"), F.array(line).alias("payload"), F.lit(1).alias("schema_version")))
+    whole = F.to_json(F.struct(text("event_ts").alias("ingested_at"), F.col("producer_request_id").alias("request_id"), F.create_map(F.lit("etag"), F.concat(F.lit("W/"), "event_id")).alias("response_headers"), F.array(line).alias("payload"), F.lit(1).alias("schema_version")))
     payload = F.when(F.col("n") % 23 == 6, F.lit("")).when(F.col("n") % 29 == 7, F.lit("not json")).otherwise(whole)
     return rows.select(F.col("bronze_kafka_topic").alias("kafka_topic"), F.col("bronze_kafka_partition").alias("kafka_partition"), F.col("n").alias("kafka_offset"), F.col("bronze_kafka_ts").alias("kafka_ts"), F.col("bronze_kafka_key").alias("kafka_key"), payload.alias("payload"), "ingest_ts", F.col("payload_hash"))
 
@@ -315,6 +322,21 @@ def fn_timestamp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", fsql.parse_iso_ts(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).alias("micros"), fsql.parse_iso_ts(F.date_format("t", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("seconds"), fsql.parse_iso_ts(F.concat(F.lit("at "), F.col("event_id").cast("string"))).alias("broken"))
 
 
+@query("SELECT event_id, ts AS six, date_trunc('milliseconds', ts) AS three, date_trunc('second', ts) AS none, ts AS six_bare, date_trunc('milliseconds', ts) AS three_bare, date_trunc('second', ts) AS none_bare, date_trunc('day', ts) AS day FROM events")
+def fn_timestamp_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each format that messages use, with and without an offset, and a bare date."""
+    rows = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    parsed = {n: fsql.parse_iso_ts(F.date_format("t", f)).alias(n) for n, f in zip(("six", "three", "none", "six_bare", "three_bare", "none_bare", "day"), (*fsql.ISO_FORMATS, "yyyy-MM-dd"), strict=True)}
+    return rows.select("event_id", *parsed.values())
+
+
+@query("SELECT event_id, CASE WHEN n % 23 <> 6 AND n % 29 <> 7 THEN 'W/' || event_id END AS etag FROM (SELECT event_id, CAST(event_id AS BIGINT) AS n FROM silver)")
+def json_response_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header out of the map of response headers of a message."""
+    found = messages.parsed(bronze_of(spark, sf_dir))
+    return found.select(F.col("kafka_offset").cast("string").alias("event_id"), F.try_element_at("env.response_headers", F.lit("etag")).alias("etag"))
+
+
 @query("SELECT event_id, sha256(props) AS payload_hash, sha256(regexp_replace(lower(trim(coalesce(reason, ''))), '\\s+', ' ', 'g')) AS reason_hash FROM (SELECT s.event_id, reason, props FROM silver s JOIN events e ON s.event_id = CAST(e.event_id AS VARCHAR))")
 def fn_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return silver(spark, sf_dir).select("event_id", "payload_hash", status.reason_hash(F.col("reason")).alias("reason_hash"))
@@ -450,10 +472,10 @@ def _prices(spark: SparkSession, sf_dir: str) -> tuple[store.Table, DataFrame]:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     held = store.Table(spark, scratch(spark, "orders"), orders.schema, "o_orderstatus")
     held.overwrite(orders.filter("o_orderkey % 3 <> 0"))
-    return held, orders.filter("o_orderkey % 2 = 0").withColumn("o_totalprice", F.lit(-1.0))
+    return held, orders.filter("o_orderkey % 2 = 0 OR o_orderkey % 3 = 0").withColumn("o_totalprice", F.lit(-1.0))
 
 
-@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM orders")
 def upsert_insert_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, news = _prices(spark, sf_dir)
     held.upsert(news, ["o_orderstatus", "o_orderkey"])
@@ -461,14 +483,14 @@ def upsert_insert_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.read()
 
 
-@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0")
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 THEN -1.0 ELSE o_totalprice END AS o_totalprice FROM orders")
 def upsert_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, news = _prices(spark, sf_dir)
     held.upsert(news, ["o_orderstatus", "o_orderkey"], update=["o_totalprice"])
     return held.read()
 
 
-@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 2 = 0 ELSE o_orderkey % 3 <> 0 END")
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders WHERE CASE WHEN o_orderstatus = 'F' THEN o_orderkey % 2 = 0 OR o_orderkey % 3 = 0 ELSE o_orderkey % 3 <> 0 END")
 def replace_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, news = _prices(spark, sf_dir)
     held.replace_parts(news.filter("o_orderstatus = 'F'").withColumn("o_totalprice", F.lit(0.0)))
@@ -516,6 +538,30 @@ def stream_silver_foreachbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return job.events.read().select("bronze_kafka_offset", "line_id", "status_severity", "reason", "event_ts")
 
 
+def _measured_silver(spark: SparkSession, sf_dir: str) -> jobs.Silver:
+    """Bronze through a catalog table and the silver job, measured at a literal time."""
+    name = f"bronze_{uuid.uuid4().hex}"
+    jobs.append_bronze_table(jobs.streams.files(pinned(spark), _records(spark, sf_dir)), name, scratch(spark, "offsets"), ONCE).awaitTermination()
+    job = jobs.Silver(spark, Config(warehouse=scratch(spark, "lake")), clock=lambda: datetime.fromisoformat(MEASURED))
+    job.start(jobs.streams.table(spark, name), scratch(spark, "offsets"), ONCE).awaitTermination()
+    spark.sql(f"DROP TABLE {name}")
+    return job
+
+
+@query(SQL_OF["silver_quarantine"])
+def stream_quarantine_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quarantine table after a batch of the table stream."""
+    return _measured_silver(spark, sf_dir).quarantine.read().select("kafka_offset", "error_reason")
+
+
+@query(SQL_OF["silver_dq_metrics"].replace("CAST(7 AS BIGINT)", "CAST(0 AS BIGINT)"))
+def stream_metrics_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics table after a batch of the table stream; a batch without rows adds nothing."""
+    job = _measured_silver(spark, sf_dir)
+    job.process(spark.createDataFrame([], messages.BRONZE), 1)
+    return job.metrics.read()
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS customer_key, c_name AS name, c_mktsegment AS name_2, 'a, \"b\"' AS name_3 FROM customer")
 def csv_loader_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A delimited file with repeated headers and quoted text, loaded as a table."""

@@ -49,7 +49,9 @@ def parsed(bronze: DataFrame, strict: bool = False) -> DataFrame:
     By default only an empty or null payload has none, and text that isn't a JSON object gives a struct of nulls, so that its
     row is missing its required fields. With strict, such text counts as not parsed too.
     """
-    rows = bronze.select(parse_iso_ts(F.col("ingest_ts")).alias("ingest_ts"), "kafka_topic", F.col("kafka_partition").cast("int"), F.col("kafka_offset").cast("bigint"), parse_iso_ts(F.col("kafka_ts")).alias("kafka_ts"), F.col("kafka_key").cast("string"), F.col("payload").cast("string"), F.col("payload_hash").cast("string"))
+    types = dict(bronze.dtypes)
+    time = lambda c: (F.col(c) if types[c] == "timestamp" else parse_iso_ts(F.col(c))).alias(c)
+    rows = bronze.select(time("ingest_ts"), "kafka_topic", F.col("kafka_partition").cast("int"), F.col("kafka_offset").cast("bigint"), time("kafka_ts"), F.col("kafka_key").cast("string"), F.col("payload").cast("string"), F.col("payload_hash").cast("string"))
     env = F.from_json("payload", ENVELOPE)
     if strict:
         env = F.when(F.json_object_keys("payload").isNotNull(), env)

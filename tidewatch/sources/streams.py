@@ -21,9 +21,9 @@ def files(spark: SparkSession, path: str, schema: str = RECORD, most_files: int
     return (reader.option("maxFilesPerTrigger", most_files) if most_files else reader).parquet(path)
 
 
-def table(spark: SparkSession, name: str) -> DataFrame:
+def table(spark: SparkSession, name: str, most_files: int | None = None) -> DataFrame:
     """Rows as they are appended to a catalog table."""
-    return spark.readStream.table(name)
+    return (spark.readStream.option("maxFilesPerTrigger", most_files) if most_files else spark.readStream).table(name)
 
 
 def to_topic(messages: DataFrame, bootstrap: str, name: str) -> None:

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import Table
+from ..operators.store import Table, ensure_table
 from ..session import Config
 from ..sources import messages, streams
 from ..sources.events import SILVER
 
 TRIGGER = {"processingTime": "30 seconds"}
+#: Offsets of a part of the quarantine table, batches of one of the metrics table.
+OFFSETS, BATCHES = 1_000_000, 1_000
 
 
 def _started(writer, name: str, checkpoint: str, trigger: dict | None):
@@ -39,6 +41,14 @@ def append_bronze(records: DataFrame, path: str, checkpoint: str, trigger: dict
     return _started(writer, "bronze", checkpoint, trigger).start()
 
 
+def append_bronze_table(records: DataFrame, table: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """The same into a catalog table, which is created if it isn't there."""
+    spark = records.sparkSession
+    ensure_table(spark, table, messages.BRONZE + ", ingest_date date", partitioned_by="ingest_date")
+    rows = streams.kept(records).withColumn("ingest_ts", F.current_timestamp()).withColumn("payload_hash", F.sha2("payload", 256)).withColumn("ingest_date", F.to_date("ingest_ts"))
+    return _started(rows.writeStream.outputMode("append").partitionBy("ingest_date"), "bronze", checkpoint, trigger).toTable(table)
+
+
 class Silver:
     """Writes bronze batches to the silver, quarantine and metrics tables."""
 
@@ -46,8 +56,9 @@ class Silver:
         self.config, self.strict = config, strict
         self.clock = clock or (lambda: datetime.now(timezone.utc))
         self.events = Table(spark, config.silver, SILVER + ", event_date date", "event_date")
-        self.quarantine = Table(spark, config.path("quarantine", "bad_records"), messages.QUARANTINE)
-        self.metrics = Table(spark, config.path("ops", "dq_metrics"), messages.METRICS)
+        offsets = f"concat_ws('/', kafka_topic, kafka_partition, kafka_offset div {OFFSETS})"  # a batch touches the last parts alone
+        self.quarantine = Table(spark, config.path("quarantine", "bad_records"), messages.QUARANTINE, offsets)
+        self.metrics = Table(spark, config.path("ops", "dq_metrics"), messages.METRICS, f"batch_id div {BATCHES}")
 
     def process(self, bronze: DataFrame, batch_id: int) -> None:
         """One batch. All its rows have one measuring time, whichever action computes them."""
