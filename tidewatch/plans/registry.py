@@ -31,12 +31,9 @@ class Model:
     schema: str | None = None  # of its own, where its table isn't in the target schema
 
 
-AS_OF = F.current_timestamp
-
-
 def models(as_of: Column | None = None) -> dict[str, Model]:
     """All models; as_of is the time that the current status is told at (by default the clock's)."""
-    at = as_of if as_of is not None else AS_OF()
+    at = lambda: F.current_timestamp() if as_of is None else as_of
     found = [
         Model("stg_events", ("silver",), gold.staged, ("line_id", "event_id", "status_severity"), "line_id", "silver", "ingest_ts", "ingest_ts"),
         Model("dim_line", ("stg_events",), gold.dim_line, ("line_id",), "line_id", "stg_events", "ingest_ts", "last_ingest_ts"),
@@ -50,7 +47,7 @@ def models(as_of: Column | None = None) -> dict[str, Model]:
         Model("mart_line_day", ("mart_line_hour", "int_line_interval_scored", "fact_line_status_change"), gold.mart_line_day, ("service_date", "line_id"), "line_id", "mart_line_hour", "max_source_ingest_ts", "max_source_ingest_ts"),
         Model("mart_network_hour", ("mart_line_hour",), gold.mart_network_hour, ("bucket_hour",), "bucket_hour", "mart_line_hour", "max_source_ingest_ts", "max_source_ingest_ts"),
         Model("mart_network_day", ("mart_line_day",), gold.mart_network_day, ("service_date",), "service_date", "mart_line_day", "max_source_ingest_ts", "max_source_ingest_ts"),
-        Model("current_line_status", ("fact_line_status_interval", "dim_line", "dim_status"), lambda i, l, s: gold.current_status(i, l, s, at), ("line_id",), "line_id", "fact_line_status_interval", "ingest_ts", "last_ingest_ts"),
+        Model("current_line_status", ("fact_line_status_interval", "dim_line", "dim_status"), lambda i, l, s: gold.current_status(i, l, s, at()), ("line_id",), "line_id", "fact_line_status_interval", "ingest_ts", "last_ingest_ts"),
     ]
     return {m.name: m for m in found}
 
