@@ -173,6 +173,7 @@ def captures(assembled: DataFrame) -> DataFrame:
     """
     page = F.regexp_extract("metadata.head", r"^pageId: (-?\d+)\r\n", 1)
     flat = assembled.filter("copies > 0").select("capture_id", "copies", F.when(page != "", page.cast("long")).alias("page_id"), F.col("main.type").alias("record_type"), F.col("main.refers_to").alias("to"), F.col("main.uri").alias("uri"), F.col("main.payload_bytes").alias("payload_bytes"), F.col("main.payload_digest").alias("payload_digest"))
+    flat, _ = common.written(flat, "captures")  # read three times, without the archives
     revisits = flat.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
     told = flat.filter("record_type != 'revisit'").select(F.col("capture_id").alias("to"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest")
     wanted = told.join(revisits.select("to").distinct(), "to", "left_semi")
