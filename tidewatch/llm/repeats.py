@@ -21,7 +21,7 @@ row, so texts of any length and kind take memory by the part.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -314,13 +314,15 @@ def halves(length: int, size: int):
     return run
 
 
-def with_sizes(once: DataFrame) -> DataFrame:
+Kept = Callable[[DataFrame, str], DataFrame]
+
+
+def with_sizes(once: DataFrame, kept: Kept) -> DataFrame:
     """Adds m, how many rows have a row's g, written apart so that a hot one's rows can be split."""
-    sizes, _ = common.written(once.groupBy("g").agg(F.count("*").alias("m")), "sizes")
-    return once.join(sizes, "g").select(*[f.name for f in CONTEXT])
+    return once.join(kept(once.groupBy("g").agg(F.count("*").alias("m")), "sizes"), "g")
 
 
-def spans_of(once: DataFrame, length: int, size: int) -> DataFrame:
+def spans_of(once: DataFrame, length: int, size: int, kept: Kept) -> DataFrame:
     """g, c and spans of the distinct contexts in once (a written table) whose offsets lie within blocks of size; groups with
     more than HOT are halved first. A context may have several rows, of different offsets."""
     n = common.partitions(once.sparkSession)
@@ -329,10 +331,10 @@ def spans_of(once: DataFrame, length: int, size: int) -> DataFrame:
     if size == 1 or many.isEmpty():
         return few
     half = -(-size // 2)
-    parts, _ = common.written(many.mapInArrow(halves(length, half), "g long, c long, n long, g2 long, c2 long, low int, high int, context binary"), "halves")
+    parts = kept(many.mapInArrow(halves(length, half), "g long, c long, n long, g2 long, c2 long, low int, high int, context binary"), "halves")
     each = parts.groupBy(F.col("g2").alias("g"), F.col("c2").alias("c")).agg(F.sum("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("context").alias("context"))
-    each, _ = common.written(with_sizes(each), "contexts")
-    found = spans_of(each, length, half).filter(F.size("spans") > 0).select(F.col("g").alias("g2"), F.col("c").alias("c2"), "spans")
+    each = kept(with_sizes(each, kept).select(*[f.name for f in CONTEXT]), "contexts")
+    found = spans_of(each, length, half, kept).filter(F.size("spans") > 0).select(F.col("g").alias("g2"), F.col("c").alias("c2"), "spans")
     return few.unionByName(parts.select("g", "c", "g2", "c2").join(found, ["g2", "c2"]).select("g", "c", "spans"))
 
 
@@ -344,20 +346,26 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """k1, k2 and covered (a list of runs of anchors with spans of offsets) of the rows of keyed docs with repeated strings;
     and the packed texts."""
-    every, every_path = common.written(docs.select("k1", "k2", "text").mapInArrow(anchor_rows(length), ANCHOR_DDL), "anchors")
-    often, _ = common.written(every.groupBy("g").agg(F.sum("times").alias("n")).filter("n > 1").select("g"), "often")  # so that a hot gram's rows can be split
-    some, _ = common.written(every.join(often, "g", "left_semi"), "repeated")
-    common.drop_path(docs.sparkSession, every_path)
-    classes = some.groupBy("g", "c").agg(F.sum("times").cast("long").alias("n"), F.min(F.struct("k1", "k2", "p", "a", "b")).alias("r"))
-    classes, _ = common.written(classes, "classes")
-    many_of, _ = common.written(classes.groupBy("g").agg(F.count("*").alias("m")), "sizes")
-    classes = classes.join(many_of, "g")
+    spark, paths = docs.sparkSession, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        table, path = common.written(df, name)
+        paths.append(path)
+        return table
+
+    every = kept(docs.select("k1", "k2", "text").mapInArrow(anchor_rows(length), ANCHOR_DDL), "anchors")
+    often = kept(every.groupBy("g").agg(F.sum("times").alias("n")).filter("n > 1").select("g"), "often")  # so that a hot gram's rows can be split
+    some = kept(every.join(often, "g", "left_semi"), "repeated")
+    common.drop_path(spark, paths.pop(0))
+    classes = kept(some.groupBy("g", "c").agg(F.sum("times").cast("long").alias("n"), F.min(F.struct("k1", "k2", "p", "a", "b")).alias("r")), "classes")
     texts = packed(docs)
-    wanted = classes.groupBy("r.k1", "r.k2").agg(F.collect_list(F.struct("g", "c", "n", "m", "r.p", "r.a", "r.b")).alias("wanted"))
-    once = texts.join(wanted, ["k1", "k2"]).mapInArrow(contexts(length), "g long, c long, n long, m long, low int, high int, context binary")
-    once, _ = common.written(once, "contexts")
-    spans = spans_of(once, length, length - gram_length(length) + 1).filter(F.size("spans") > 0)
+    wanted = with_sizes(classes, kept).groupBy("r.k1", "r.k2").agg(F.collect_list(F.struct("g", "c", "n", "m", "r.p", "r.a", "r.b")).alias("wanted"))
+    once = kept(texts.join(wanted, ["k1", "k2"]).mapInArrow(contexts(length), "g long, c long, n long, m long, low int, high int, context binary"), "contexts")
+    spans = spans_of(once, length, length - gram_length(length) + 1, kept).filter(F.size("spans") > 0)
     covered = some.join(spans, ["g", "c"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "step", "times", "spans")).alias("covered"))
+    covered, _ = common.written(covered, "covered")
+    for path in paths:
+        common.drop_path(spark, path)
     return covered, texts
 
 
