@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,8 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), one of our own."""
+    """The cluster's shared folder; where none is set and all is on one machine (tests), one of our own."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return at or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
@@ -61,7 +64,10 @@ BATCH = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Batches of BATCH bytes at most, so that the buffers on both sides stay small whatever the rows' sizes."""
+    """Batches of BATCH bytes at most, so that the buffers on both sides stay small whatever the rows' sizes.
+
+    It is a setting of the session, and stays: plans are run later than they are made. A smaller one is left as it is.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
     if now <= 0 or now > BATCH:
