@@ -643,6 +643,15 @@ def test_one_of_each_group_stays(docs, none, spark):
     assert neardup.representatives(none).count() == 0
 
 
+@pytest.mark.parametrize("told", [50_000, 0])
+def test_near_copies_of_a_text_without_an_id(spark, monkeypatch, told):
+    monkeypatch.setattr(neardup, "TOLD", told)
+    near = prose(40, 200) + " end"
+    rows = [(None, prose(40, 200)), (3, near), (-1, near), (4, prose(41, 100)), (None, "x y z"), (5, "x y z")]
+    got = neardup.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([rows[0], rows[3], rows[4]], key=repr)
+
+
 def test_word_hashes(monkeypatch):
     texts_ = [(t or "").encode() for t in texts()] + [b"A b  a B\tab", b"x" * 300]
     for size in (1 << 19, 1, 50):
