@@ -364,4 +364,4 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                     lang, score = shared.value.predict(common.encoded(part.column(at)))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=schema.names)
 
-    return apart.mapInArrow(run, schema).toDF(*names, "lang_pred", "score")
+    return apart.mapInArrow(common.giving_back(run), schema).toDF(*names, "lang_pred", "score")

@@ -326,12 +326,12 @@ def spans_of(once: DataFrame, length: int, size: int, kept: Kept) -> DataFrame:
     """g, c and spans of the distinct contexts in once (a written table) whose offsets lie within blocks of size; groups with
     more than HOT are halved first. A context may have several rows, of different offsets."""
     n = common.partitions(once.sparkSession)
-    few = once.filter(F.col("m") <= HOT).repartition(n, "g").sortWithinPartitions("g", "c").mapInArrow(settled(length), "g long, c long, spans array<int>")
+    few = once.filter(F.col("m") <= HOT).repartition(n, "g").sortWithinPartitions("g", "c").mapInArrow(common.giving_back(settled(length)), "g long, c long, spans array<int>")
     many = once.filter(F.col("m") > HOT)
     if size == 1 or many.isEmpty():
         return few
     half = -(-size // 2)
-    parts = kept(many.mapInArrow(halves(length, half), "g long, c long, n long, g2 long, c2 long, low int, high int, context binary"), "halves")
+    parts = kept(many.mapInArrow(common.giving_back(halves(length, half)), "g long, c long, n long, g2 long, c2 long, low int, high int, context binary"), "halves")
     each = parts.groupBy(F.col("g2").alias("g"), F.col("c2").alias("c")).agg(F.sum("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("context").alias("context"))
     each = kept(with_sizes(each, kept).select(*[f.name for f in CONTEXT]), "contexts")
     found = spans_of(each, length, half, kept).filter(F.size("spans") > 0).select(F.col("g").alias("g2"), F.col("c").alias("c2"), "spans")
@@ -353,14 +353,14 @@ def repeated(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
         paths.append(path)
         return table
 
-    every = kept(docs.select("k1", "k2", "text").mapInArrow(anchor_rows(length), ANCHOR_DDL), "anchors")
+    every = kept(docs.select("k1", "k2", "text").mapInArrow(common.giving_back(anchor_rows(length)), ANCHOR_DDL), "anchors")
     often = kept(every.groupBy("g").agg(F.sum("times").alias("n")).filter("n > 1").select("g"), "often")  # so that a hot gram's rows can be split
     some = kept(every.join(often, "g", "left_semi"), "repeated")
     common.drop_path(spark, paths.pop(0))
     classes = kept(some.groupBy("g", "c").agg(F.sum("times").cast("long").alias("n"), F.min(F.struct("k1", "k2", "p", "a", "b")).alias("r")), "classes")
     texts = packed(docs)
     wanted = with_sizes(classes, kept).groupBy("r.k1", "r.k2").agg(F.collect_list(F.struct("g", "c", "n", "m", "r.p", "r.a", "r.b")).alias("wanted"))
-    once = kept(texts.join(wanted, ["k1", "k2"]).mapInArrow(contexts(length), "g long, c long, n long, m long, low int, high int, context binary"), "contexts")
+    once = kept(texts.join(wanted, ["k1", "k2"]).mapInArrow(common.giving_back(contexts(length)), "g long, c long, n long, m long, low int, high int, context binary"), "contexts")
     spans = spans_of(once, length, length - gram_length(length) + 1, kept).filter(F.size("spans") > 0)
     covered = some.join(spans, ["g", "c"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "step", "times", "spans")).alias("covered"))
     covered, _ = common.written(covered, "covered")
@@ -447,7 +447,7 @@ def cleaned(docs: DataFrame, length: int) -> DataFrame:
             columns = [pa.array(texts, batch.schema.field(text).type) if c == text else batch[c] for c in schema.names]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(stays, pa.bool_()))
 
-    done = both.mapInArrow(run, schema)
+    done = both.mapInArrow(common.giving_back(run), schema)
     if chars:
         done = done.withColumn(chars, F.length(text).cast(schema[chars].dataType))
     return done.toDF(*names)

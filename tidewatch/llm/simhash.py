@@ -266,7 +266,7 @@ def links(fps: DataFrame, threshold: int, blocks: tuple[tuple[int, int], ...]) -
     """
     n = common.partitions(fps.sparkSession)
     fps = fps.repartition(n, F.xxhash64("fp"))  # few bytes in, many out: not to be coalesced
-    placed = fps.mapInArrow(place(blocks, threshold), "anchor long, own boolean, fp long")
+    placed = fps.mapInArrow(common.giving_back(place(blocks, threshold)), "anchor long, own boolean, fp long")
     sizes = fps.mapInArrow(home_of(blocks), "anchor long").groupBy("anchor").count().filter(F.col("count") > HELD)
     sides = sizes.select("anchor", F.ceil(F.col("count") / HELD).cast("int").alias("side"))
     sides, _ = common.written(sides, "sides")  # so that its size is known and the many rows need no exchange for it
@@ -277,7 +277,7 @@ def links(fps: DataFrame, threshold: int, blocks: tuple[tuple[int, int], ...]) -
     held = F.transform(each, lambda j: F.struct((own * F.col("side") + j).alias("cell"), F.lit(False).alias("sent")))
     past = F.transform(each, lambda i: F.struct((i * F.col("side") + sent).alias("cell"), F.lit(True).alias("sent")))
     spread = placed.withColumn("to", F.explode(F.when(F.col("own"), F.concat(held, past)).otherwise(past))).select("anchor", "fp", "to.cell", "to.sent")
-    return spread.repartition(n, "anchor", "cell").sortWithinPartitions("anchor", "cell", "sent").mapInArrow(compare(threshold), "a long, b long")
+    return spread.repartition(n, "anchor", "cell").sortWithinPartitions("anchor", "cell", "sent").mapInArrow(common.giving_back(compare(threshold)), "a long, b long")
 
 
 def home_of(blocks):
