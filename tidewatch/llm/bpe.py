@@ -37,8 +37,8 @@ PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *
 
 #: Expanded arcs and byte transitions that a worker keeps.
 KEPT_ARCS = 1 << 18
-#: Characters of texts that are encoded together; a longer text goes in parts.
-TOGETHER = 1 << 20
+#: Characters of texts that are encoded together; a longer text goes in parts. Bytes of texts whose results are held at once.
+TOGETHER, SLICE = 1 << 19, 1 << 20
 #: With fewer words that are still under way, each is finished by itself.
 FEW = 16
 #: The ends that the split pattern cuts off behind an apostrophe.
@@ -469,7 +469,7 @@ def tokenized(docs: DataFrame, path: str, *columns: str) -> DataFrame:
             totals[i].add(*part)
         return {c: batch[c] if c in read else [getattr(x, c) for x in totals] for c in columns}
 
-    return common.own_columns(docs, [*read, "text"]).mapInArrow(common.per_batch(schema, make), ", ".join(f"{c} {FIELDS[c][1]}" for c in columns))
+    return common.own_columns(docs, [*read, "text"]).mapInArrow(common.per_batch(schema, make, SLICE), ", ".join(f"{c} {FIELDS[c][1]}" for c in columns))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

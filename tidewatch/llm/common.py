@@ -62,7 +62,7 @@ def own_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 #: Bytes of a batch that the JVM hands to Python at once.
-BATCH = 8 << 20
+BATCH = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
