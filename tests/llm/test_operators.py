@@ -12,10 +12,10 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidewatch.llm import bpe, components, html, language, mixing, multiset, neardup, quality, queries, repeats, simhash, suffixes, urls, warc
-from tidewatch.llm.queries import TOKENIZERS, URL_RULES
+from tidewatch.llm.queries import URL_RULES, vocabulary
 
-BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-RANKS = f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
+BPE = vocabulary("byte_bpe_50k.json")
+RANKS = vocabulary("byte_bpe_multi_50k.tiktoken")
 DDL = "doc_id long, text string, lang string, source string, n_chars long, k1 string, fp string, code int, position string, ids string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 

@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 from . import bpe, html, language, mixing, multiset, quality, repeats, simhash, urls, warc
 from .common import new_path, own_columns, table
 
-#: Folder of the public vocabularies; a parameter of whoever runs the queries.
-TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+#: Folder of the public vocabularies, a parameter of whoever runs the queries; by default that of ``public_tokenizers``.
+TOKENIZERS = os.environ.get("TOKENIZERS")
 
 #: (host, path, verdict)
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def vocabulary(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers  # only where no folder is given
+
+    return public_tokenizers.path(name)
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"), 400)
 
@@ -33,7 +41,7 @@ def op3_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.rules(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_multi_50k.tiktoken")
+    return quality.rules(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def op5_url_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +50,7 @@ def op5_url_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
