@@ -795,6 +795,12 @@ def test_names_that_tell_of_other_blocks():
     assert html.main_text("<div class='adSlot'>x</div><p>" + prose(1, 40)) == prose(1, 40)
 
 
+def test_a_disclaimer_is_a_notice():
+    body = "".join(f"<p>{prose(i, 30)}</p>" for i in range(4))
+    text = html.main_text(f"<div class='post'>{body}</div><div class='disclaimer'><p>{prose(9, 20)}</p></div>")
+    assert text == "\n\n".join(prose(i, 30) for i in range(4))
+
+
 @pytest.mark.parametrize("broken", ["", " ", "no markup at all", "<", "<p", "<!--", "&am", "<article><p>x", "</p></article>", "<article></article>", "\x00<p>é", "<b>" * 3000 + "deep"])
 def test_broken_pages(broken):
     assert isinstance(html.main_text(broken), str)

@@ -34,7 +34,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that a following one of the same group ends, when its end tag is left out.
 ENDED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Words of class, id or role that mark a block as something else than main text.
-MARKS = frozenset("ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion comment comments respond reply replies discussion disqus sidebar side widget related recommended share sharing social newsletter subscribe subscription signup cookie cookies consent gdpr notice notices notification popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead header copyright legal skip login search toolbar contentinfo complementary".split())
+MARKS = frozenset("ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo promotion comment comments respond reply replies discussion disqus sidebar side widget related recommended share sharing social newsletter subscribe subscription signup cookie cookies consent gdpr notice notices notification popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead header copyright legal disclaimer skip login search toolbar contentinfo complementary".split())
 #: Of these, the ones that inside an article belong to it.
 OWN_MARKS = frozenset(["header"])
 ABOUT_OTHERS = frozenset("has with no without not is".split())
