@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -708,6 +709,30 @@ def test_near_duplicates_in_a_dense_cluster(spark):
     assert 1 < len(expected) < 150 and reduced(spark, texts) == expected
 
 
+def test_pairs_of_a_group_of_near_copies_grow_with_its_size(spark, monkeypatch):
+    """Not with its square: 90 texts have 4,005 pairs, all similar."""
+    base, asked, tested = prose(33, 300).split(), [], neardup.tested
+
+    def counted(docs, classes, pairs):
+        asked.append(pairs.distinct().count())
+        return tested(docs, classes, pairs)
+
+    monkeypatch.setattr(neardup, "tested", counted)
+    assert reduced(spark, [" ".join(base[: 3 * i] + [f"new{i}"] + base[3 * i + 1 :]) for i in range(90)]) == [0]
+    assert sum(asked) <= 12 * 90
+
+
+def test_near_pairs_of_a_turn():
+    r = np.random.default_rng(8)
+    s, root = np.sort(r.integers(0, 4, 200)), r.integers(0, 3, 200)
+    rows = pa.table({"s": s, "chunk": s * 0, "id": np.arange(200), "n": s * 0 + 10, "place": s * 0, "root": root})
+    for low, high in [(1, 4), (4, 16), (16, 64), (1, 64)]:
+        want = {(i, j) for i in range(200) for j in range(i + low, min(200, i + high)) if s[i] == s[j] and root[i] != root[j]}
+        for size in (1, 7, 50, 200):
+            found = [p for b in neardup.near_pairs(low, high)(iter(rows.to_batches(size))) for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)]
+            assert len(found) == len(want) and set(found) == want
+
+
 def test_near_duplicates_of_few_distinct_words(spark):
     r, texts = random.Random(5), []
     for i in range(20):
