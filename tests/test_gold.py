@@ -131,6 +131,18 @@ def test_dimensions_take_the_latest_and_default_the_description(make):
     assert gold.dim_datetime(stg).count() == 24
 
 
+def test_percentiles_of_many_incidents_are_exact(spark):
+    n = 200_000
+    ids = spark.range(n, numPartitions=7)
+    length = F.col("id") * 7_919 % n + 1  # 1 to n in no order
+    scored = ids.select(F.lit("a").alias("line_id"), F.lit(T0).alias("interval_start_ts"), length.alias("interval_seconds"), F.lit(True).alias("is_disrupted"), F.lit(T0).alias("ingest_ts"))
+    hours = spark.createDataFrame([(T0.date(), "a", "A", "metro", 1, 1, 0, 0.0, 1, 3, T0)], "service_date date, line_id string, line_name string, mode string, total_seconds long, good_service_seconds long, disruption_seconds long, severity_weighted_seconds double, incident_count long, worst_status_severity int, max_source_ingest_ts timestamp")
+    changes = spark.createDataFrame([], "line_id string, change_ts timestamp, time_in_new_state_seconds long, recovery_flag boolean, time_since_prev_seconds long, source_ingest_ts timestamp")
+    got = gold.mart_line_day(hours, scored, changes)
+    assert rows(got, "p50_incident_duration_seconds", "p95_incident_duration_seconds") == [(n // 2, n * 95 // 100)]
+    assert dict(got.dtypes)["p50_incident_duration_seconds"] == "bigint"
+
+
 def test_current_status_is_told_at_a_given_time(make):
     stg = gold.staged(make(event(0, 10), event(30, 3, reason="signal")))
     got = gold.current_status(gold.fact_interval(stg), gold.dim_line(stg), gold.dim_status(stg), F.lit(T0 + timedelta(minutes=45))).first()
