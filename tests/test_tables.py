@@ -261,6 +261,29 @@ def test_streams_and_replay(spark, tmp_path):
     assert spark.sql("select count(*) from silver_line_status_events").first()[0] == 2
 
 
+@pytest.mark.parametrize("limit", [{"PIECE_ROWS": 10}, {"PIECE_BYTES": 3000}])
+def test_a_batch_in_one_file_is_kept_in_pieces_by_offset(spark, tmp_path, monkeypatch, limit):
+    for k, v in limit.items():
+        monkeypatch.setattr(jobs, k, v, raising=False)
+    pieces, keep = [], messages.clean_events
+    monkeypatch.setattr(messages, "clean_events", lambda found: pieces.append(found.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()) or keep(found))
+    job = jobs.Silver(spark, Config(warehouse=str(tmp_path / "lake")), clock=lambda: datetime(2024, 1, 2))
+    payloads = [message([GOOD, GOOD | {"id": "b"}]) if i % 10 else None for i in range(100)]
+    job.process(bronze(spark, *payloads).coalesce(1), 0)
+    assert len(pieces[0]) >= 8 and sum(pieces[0]) == 180 and max(pieces[0]) <= 60
+    assert job.events.read().count() == 180 and job.quarantine.read().count() == 10
+    assert job.metrics.read().select("total_rows", "parse_fail_rows").first()[:] == (180, 10)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_outcomes_hold_statuses_and_failures(spark, strict):
+    parsed = messages.parsed(bronze(spark, None, "", "{not json", "[1]", message([GOOD]), message([GOOD | {"id": None}]), message([])), strict)
+    found, failures = messages.of_outcomes(messages.outcomes(parsed, now()), now())
+    assert rows(found) == rows(messages.statuses(parsed, now()))
+    assert rows(failures) == rows(messages.parse_failures(parsed, now())) and failures.count() == (4 if strict else 2)
+    assert [r["_payload"] is None for r in found.orderBy("bronze_kafka_offset").collect()][-3:] == [True, False, False]
+
+
 def test_stream_commands_with_a_limit_and_a_bronze_table(spark, tmp_path):
     for i, p in enumerate([message([GOOD]), "", message([GOOD | {"id": "b"}])]):
         spark.createDataFrame([("t", 0, i, datetime(2024, 1, 1), bytearray(b"k"), bytearray(p.encode()))], jobs.streams.RECORD).coalesce(1).write.mode("append").parquet(str(tmp_path / "topic"))

@@ -159,14 +159,15 @@ class Table:
         parts = self._write(df)
         self._add(self.manifest(), parts, drop=parts)
 
-    def upsert(self, df: DataFrame, key: list[str], update: list[str] | None = None, order: list[Column] | None = None) -> None:
+    def upsert(self, df: DataFrame, key: list[str], update: list[str] | None = None, order: list[Column] | None = None, unique: bool = False) -> None:
         """Rows of new keys are inserted. Of known keys, the columns in update are set; without it they stay as they are.
 
-        Keys match null-safely. Of several rows with one key the first by order (or by all columns) counts. df is computed
-        once. Of the table only the keys in the parts that df touches are read (and the rows for a partial update), so where
+        Keys match null-safely. Of several rows with one key the first by order (or by all columns) counts; unique says that
+        there are none. df is computed once. Of the table only the keys in the parts that df touches are read (and the rows for a partial update), so where
         it has parts, a key must determine its part; nothing that is there is written again.
         """
-        offered = self._write(first_of(df.select(*self.schema.names), key, order))
+        rows = df.select(*self.schema.names)
+        offered = self._write(rows if unique else first_of(rows, key, order))
         manifest = self.manifest()
         known = {k for e in manifest["entries"] for k in e["parts"]} & set(offered)
         if not offered:

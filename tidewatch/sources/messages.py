@@ -68,8 +68,14 @@ def parse_failures(rows: DataFrame, measured_at: Column) -> DataFrame:
 
 def statuses(rows: DataFrame, measured_at: Column) -> DataFrame:
     """One row per status of each line of each message, and one with nulls for a message or line without any."""
+    return outcomes(rows.filter(F.col("env").isNotNull()), measured_at).drop("_failed")
+
+
+def outcomes(rows: DataFrame, measured_at: Column) -> DataFrame:
+    """statuses() of all messages, and one row for each that didn't parse, with _failed; a payload only where it goes to
+    quarantine. This is all that the silver job needs, so a batch is kept once and without its complete messages."""
     sent = parse_iso_ts(F.col("env.ingested_at"))
-    base = rows.filter(F.col("env").isNotNull()).select("*", sent.alias("producer_ingest_ts"), F.explode_outer("env.payload").alias("line"))
+    base = rows.select("*", sent.alias("producer_ingest_ts"), F.explode_outer("env.payload").alias("line"))
     each = base.select("*", F.explode_outer("line.lineStatuses").alias("status"))
     period = F.when(F.size("status.validityPeriods") > 0, F.get("status.validityPeriods", F.lit(0)))
     severity = F.col("status.statusSeverity")
@@ -96,10 +102,17 @@ def statuses(rows: DataFrame, measured_at: Column) -> DataFrame:
         F.col("env.request_id").alias("producer_request_id"),
         F.coalesce("env.schema_version", F.lit(1)).alias("schema_version"),
         F.col("ingest_ts").alias("_arrived"),
-        F.col("payload").alias("_payload"),
+        F.when(F.col("env").isNull() | F.col("line.id").isNull() | severity.isNull(), F.col("payload")).alias("_payload"),
+        F.col("env").isNull().alias("_failed"),
     )
 
 
+def of_outcomes(found: DataFrame, measured_at: Column) -> tuple[DataFrame, DataFrame]:
+    """The statuses() and the parse_failures() of the messages that outcomes() were made from."""
+    failed = found.filter("_failed").select(F.col("_arrived").alias("ingest_ts"), *[F.col(f"bronze_{c}").alias(c) for c in (*OFFSET, "kafka_key")], F.col("_payload").alias("payload"))
+    return found.filter("NOT _failed").drop("_failed"), rejected(failed, PARSE_FAILED, measured_at)
+
+
 def complete() -> Column:
     return F.col("line_id").isNotNull() & F.col("status_severity").isNotNull()
 

@@ -5,6 +5,7 @@ All writes of a silver batch are keyed upserts, so a batch that is run again lea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -20,6 +21,8 @@ from ..sources.events import SILVER
 TRIGGER = {"processingTime": "30 seconds"}
 #: Offsets of a part of the quarantine table, batches of one of the metrics table.
 OFFSETS, BATCHES = 1_000_000, 1_000
+#: Messages, and bytes of their payloads, that a task parses and keeps, however large the batch and its files are.
+PIECE_ROWS, PIECE_BYTES = 50_000, 1 << 24
 
 
 def _started(writer, name: str, checkpoint: str, trigger: dict | None):
@@ -62,21 +65,22 @@ class Silver:
 
     def process(self, bronze: DataFrame, batch_id: int) -> None:
         """One batch. All its rows have one measuring time, whichever action computes them."""
-        if bronze.isEmpty():
+        n, size = bronze.agg(F.count(F.lit(1)), F.sum(F.octet_length("payload").cast("long"))).first()
+        if not n:
             return
         now = F.lit(self.clock())
-        rows = messages.parsed(bronze, self.strict).persist()
-        found = messages.statuses(rows, now).persist()
+        pieces = bronze.repartition(max(math.ceil(n / PIECE_ROWS), math.ceil((size or 0) / PIECE_BYTES)), *messages.OFFSET)
+        kept = messages.outcomes(messages.parsed(pieces, self.strict), now).persist()
         try:
-            failures = messages.parse_failures(rows, now)
-            self.quarantine.upsert(messages.quarantined(found, failures, now), [*messages.OFFSET, "error_reason"])
+            kept.count()  # once it's there, what is made from it knows that keys aren't spread over pieces, and isn't dealt out again
+            found, failures = messages.of_outcomes(kept, now)
+            self.quarantine.upsert(messages.quarantined(found, failures, now), [*messages.OFFSET, "error_reason"], unique=True)
             events = messages.clean_events(found).withColumn("event_date", F.to_date("event_ts"))
-            self.events.upsert(events, messages.EVENT_KEY)
+            self.events.upsert(events, messages.EVENT_KEY, unique=True)
             measured = messages.metrics(found, failures, batch_id, now)
             self.metrics.upsert(measured, ["batch_id", "dataset"], [c for c in messages.names(messages.METRICS) if c not in ("batch_id", "dataset")])
         finally:
-            found.unpersist()
-            rows.unpersist()
+            kept.unpersist()
 
     def start(self, bronze: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
         return _started(bronze.writeStream.foreachBatch(self.process), "silver", checkpoint, trigger).start()
