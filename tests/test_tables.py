@@ -5,6 +5,7 @@ import os
 import subprocess
 import zipfile
 from datetime import datetime, timedelta
+from decimal import Decimal
 from pathlib import Path
 
 import pytest
@@ -185,6 +186,16 @@ def test_refresh_equals_full_build_with_late_rows_and_shortened_intervals(spark,
     assert step.table("mart_line_hour").versions() == version
 
 
+def test_refreshed_days_have_exact_percentiles(spark, tmp_path):
+    n, at = 200_000, datetime(2024, 1, 1, 10)
+    built = incremental.Gold(spark, Config(warehouse=str(tmp_path)), names={"mart_line_day"})
+    scored = spark.range(n, numPartitions=7).select(F.lit("a").alias("line_id"), F.lit(at).alias("interval_start_ts"), (F.col("id") * 7_919 % n + 1).alias("interval_seconds"), F.lit(True).alias("is_disrupted"), F.lit(at).alias("ingest_ts"))
+    hours = spark.createDataFrame([(at.date(), "a", "A", "metro", 1, 1, 0, Decimal(0), 1, 3, at)], "service_date date, line_id string, line_name string, mode string, total_seconds long, good_service_seconds long, disruption_seconds long, severity_weighted_seconds decimal(20,1), incident_count long, worst_status_severity int, max_source_ingest_ts timestamp")
+    changes = spark.createDataFrame([], "line_id string, change_ts timestamp, time_in_new_state_seconds long, recovery_flag boolean, time_since_prev_seconds long, source_ingest_ts timestamp")
+    built._remake(built.models["mart_line_day"], [hours, scored, changes], hours.select("line_id"))
+    assert built.table("mart_line_day").read().select("p50_incident_duration_seconds", "p95_incident_duration_seconds").first()[:] == (n // 2, n * 95 // 100)
+
+
 def message(lines, **more):
     return json.dumps({"ingested_at": "2024-01-01T10:00:00Z", "request_id": "r", "payload": lines} | more)
 
